@@ -94,3 +94,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, f: Callable[[p
     for batch in batches:
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x for x, t in zip(f(batch), schema.types, strict=True)], schema=schema)
+
+
+def kept(df: DataFrame, start: Callable[[], Callable[[list[bytes]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text a test keeps, all columns as they are; ``start`` makes a task's test of a batch of texts."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = start()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(test(bytes_of(batch.column(at))), pa.bool_()))
+
+    text_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcalc.llm import labelled
-from gridcalc.llm.common import bytes_of, text_batches
+from gridcalc.llm.common import bytes_of, kept, text_batches
 
 #: Examples of each class at most: a classifier's fit on a bounded sample.
 PER_CLASS = 2000
@@ -163,3 +163,14 @@ def scored(spark: SparkSession, documents: DataFrame, model: Model, modulus: int
 def quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Takes the labelled rows that are not held out and scores every whole text."""
     return scored(spark, documents, fit(spark, documents, labels))
+
+
+def accepted(spark: SparkSession, documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that score ``threshold`` or more, with all their columns."""
+    known = spark.sparkContext.broadcast(model)  # at most 2 * PER_CLASS vectors of LATENT floats
+
+    def start():
+        terms = Terms()
+        return lambda texts: known.value.score(np.array([terms.vector(t.decode()) for t in texts])) >= threshold
+
+    return kept(documents, start)

@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcalc.llm import bpe_automaton, quality, simhash, token_files, toxicity
+from gridcalc.llm import bpe_automaton, decontaminate, quality, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(spark, _table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -191,3 +191,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     of_fp = rooted.join(lowest, "root").select("fp", "component_id")
     out = fps.join(of_fp, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each group the one with the smallest doc_id stays.
+
+    Rows without a doc_id stay; of rows that repeat the staying doc_id one does.
+    """
+    groups = near_duplicates(spark, df)
+    heads = groups.where("doc_id = component_id").select("doc_id")
+    if heads.groupBy("doc_id").count().where("count > 1").take(1):
+        return df.where("doc_id is null").unionByName(df.join(heads.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    gone = written(spark, groups.where("doc_id != component_id").select("doc_id"), "gone")
+    return df.join(gone, "doc_id", "left_anti")
