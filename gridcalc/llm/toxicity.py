@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcalc.llm import labelled
-from gridcalc.llm.common import bytes_of, text_batches
+from gridcalc.llm.common import bytes_of, kept, text_batches
 
 #: Examples of each class at most: a classifier's fit on a bounded sample.
-PER_CLASS = 2000
-ORDER = 7
-FOLDS = 2
+PER_CLASS = 1500
+ORDER = 6
+FOLDS = 3
 #: A word's evidence is kept between these, so that no single odd word decides.
 LEAST, MOST = -1.0, 6.0
 #: The share of a text's words that its strongest passage takes, two at least.
@@ -40,11 +40,11 @@ def words(text: str) -> list[str]:
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney letter model of words, over ``shared`` letter probabilities."""
+    """Interpolated Kneser-Ney letter counts of words: for each order, discounted shares and backoff weights."""
 
-    def __init__(self, counts: Counter[str], shared: dict[str, float], order: int = ORDER, discount: float = 0.75):
-        self.order, self.shared, self.floor = order, shared, min(shared.values(), default=1.0) / 10
-        grams: list[Counter] = [Counter() for _ in range(order + 1)]
+    def __init__(self, counts: Counter[str], order: int = ORDER, discount: float = 0.75):
+        self.order = order
+        grams: list[dict[str, int]] = [defaultdict(int) for _ in range(order + 1)]
         for word, n in counts.items():
             s = f"^{word}$"
             for i in range(1, len(s)):
@@ -52,32 +52,56 @@ class KneserNey:
                 k = min(order, i + 1)
                 grams[k][s[i + 1 - k : i + 1]] += n
         for k in range(order, 2, -1):  # continuation counts: distinct letters to the left
+            lower = grams[k - 1]
             for g in grams[k]:
-                grams[k - 1][g[1:]] += 1
-        self.tables: list[dict[str, float]] = [{} for _ in range(order + 1)]
+                lower[g[1:]] += 1
+        self.shares: list[dict[str, float]] = [{} for _ in range(order + 1)]
         self.back: list[dict[str, float]] = [{} for _ in range(order + 1)]
         for k in range(2, order + 1):
             total, kinds = defaultdict(int), defaultdict(int)
             for g, n in grams[k].items():
                 total[g[:-1]] += n
                 kinds[g[:-1]] += 1
-            self.tables[k] = {g: (n - discount) / total[g[:-1]] for g, n in grams[k].items() if n > discount}
+            self.shares[k] = {g: (n - discount) / total[g[:-1]] for g, n in grams[k].items()}
             self.back[k] = {h: discount * kinds[h] / total[h] for h in total}
+            grams[k] = {}
 
-    def log_likelihood(self, word: str) -> float:
+    def log_likelihood(self, word: str, shared: dict[str, float], floor: float) -> float:
+        """Natural logarithm of the word's probability, letter by letter; contexts never seen pass to shorter ones."""
         s, out = f"^{word}$", 0.0
         for i in range(1, len(s)):
-            p = self.shared.get(s[i], self.floor)
+            p = shared.get(s[i], floor)
             for k in range(2, min(self.order, i + 1) + 1):
                 g = s[i + 1 - k : i + 1]
-                back = self.back[k].get(g[:-1])
-                if back is None:
-                    break
-                p = self.tables[k].get(g, 0.0) + back * p
+                p = self.shares[k].get(g, 0.0) + self.back[k].get(g[:-1], 1.0) * p
             out += math.log(p)
         return out
 
 
+def ratios(a: KneserNey, b: KneserNey, shared: dict[str, float], floor: float) -> tuple[list[dict[str, float]], list[dict[str, float]]]:
+    """For each order, the log ratio of the two models' probabilities of every run of letters that one of them has seen,
+    and of their backoff weights: all that a word's log-likelihood ratio takes."""
+    found: list[dict[str, float]] = [{} for _ in range(a.order + 1)]
+    weights: list[dict[str, float]] = [{} for _ in range(a.order + 1)]
+    low: dict[str, tuple[float, float]] = {}
+    for k in range(2, a.order + 1):
+        now = {}
+        sa, sb, ba, bb = a.shares[k], b.shares[k], a.back[k], b.back[k]
+        for g in sa.keys() | sb.keys():
+            if k == 2:
+                pa = pb = shared.get(g[1], floor)
+            else:
+                pa, pb = low[g[1:]]
+            h = g[:-1]
+            pair = sa.get(g, 0.0) + ba.get(h, 1.0) * pa, sb.get(g, 0.0) + bb.get(h, 1.0) * pb
+            now[g] = pair
+            found[k][g] = math.log(pair[0] / pair[1])
+        for h in ba.keys() | bb.keys():
+            weights[k][h] = math.log(ba.get(h, 1.0) / bb.get(h, 1.0))
+        low = now
+    return found, weights
+
+
 def shared_letters(counts: Counter[str]) -> dict[str, float]:
     """Letter probabilities by continuation counts (distinct letters before) over both classes, one added."""
     pairs = {(s[i], s[i + 1]) for w in counts for s in (f"^{w}$",) for i in range(len(s) - 1)}
@@ -91,10 +115,23 @@ class Model:
 
     def __init__(self, toxic: Counter[str], ordinary: Counter[str]):
         shared = shared_letters(toxic + ordinary)
-        self.toxic, self.ordinary = KneserNey(toxic, shared), KneserNey(ordinary, shared)
+        self.found, self.back = ratios(KneserNey(toxic), KneserNey(ordinary), shared, min(shared.values(), default=1.0) / 10)
         self.known: dict[str, float] = {}
         self.weights = np.zeros(MEANS + 1)
 
+    def ratio(self, word: str) -> float:
+        """Log-likelihood ratio of the word's two spellings."""
+        s, out, found, back = f"^{word}$", 0.0, self.found, self.back
+        for i in range(1, len(s)):
+            for k in range(min(ORDER, i + 1), 1, -1):
+                g = s[i + 1 - k : i + 1]
+                r = found[k].get(g)
+                if r is not None:
+                    out += r
+                    break
+                out += back[k].get(g[:-1], 0.0)
+        return out
+
     def evidence(self, text: str) -> np.ndarray:
         """Mean log-likelihood ratios a word: of the whole text, of its strongest words, and of its two strongest; zeros without words."""
         w = words(text)
@@ -104,7 +141,7 @@ class Model:
         if len(known) > CACHE_WORDS:
             known.clear()
         for x in set(w).difference(known):
-            known[x] = min(MOST, max(LEAST, self.toxic.log_likelihood(x) - self.ordinary.log_likelihood(x)))
+            known[x] = min(MOST, max(LEAST, self.ratio(x)))
         ratio = np.fromiter(map(known.__getitem__, w), float, len(w))
         ranked = np.sort(ratio)[::-1]
         return np.array([5 * ratio.mean(), ranked[: max(2, math.ceil(STRONGEST * len(w)))].mean(), ranked[:2].mean()])
@@ -136,10 +173,13 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
     rows = labelled.sample(documents, labels, "toxic", modulus, held, per_class)
     rows = written(spark, rows.withColumn("fold", (F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(FOLDS))).cast("int")), "toxic-sample")
     counts = {(c, k): Counter() for c in (0, 1) for k in range(FOLDS)}
-    for label, fold, word, n in _counted(rows).collect():  # the words of a bounded sample
-        counts[label, fold][word] = n
-    whole = [sum((counts[c, k] for k in range(FOLDS)), Counter()) for c in (0, 1)]
-    folds = [Model(*(whole[c] - counts[c, k] for c in (1, 0))) for k in range(FOLDS)]
+    table = _counted(rows).toArrow()  # the words of a bounded sample
+    for batch in table.to_batches(50_000):
+        for label, fold, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[label, fold][word] = n
+    del table
+    others = lambda c, k: sum((counts[c, j] for j in range(FOLDS) if j != k), Counter())
+    folds = [Model(others(1, k), others(0, k)) for k in range(FOLDS)]
     known = spark.sparkContext.broadcast(folds)  # models of a bounded sample
     schema = pa.schema([("label", pa.int32()), ("evidence", pa.list_(pa.float64()))])
 
@@ -149,7 +189,9 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([known.value[k].evidence(t).tolist() for k, t in zip(fold, text, strict=True)], schema.types[1])], schema=schema)
 
     got = rows.select("label", "fold", "text").mapInArrow(run, "label int, evidence array<double>").collect()  # a row an example
-    model = Model(whole[1], whole[0])
+    known.unpersist()
+    del folds
+    model = Model(others(1, None), others(0, None))
     y = np.array([r.label for r in got], float)
     if len(got) and 0 < y.mean() < 1:
         prior = min(max(labelled.share(labels, "toxic", modulus, held), 1e-3), 1 - 1e-3)
@@ -157,7 +199,6 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
         model.weights = labelled.logistic(np.array([r.evidence for r in got]), y, weight)
     else:
         model.weights[-1] = 30.0 if len(got) and y.mean() == 1 else -30.0 if len(got) else 0.0
-    known.unpersist()
     return model
 
 
@@ -185,3 +226,9 @@ def scored(spark: SparkSession, documents: DataFrame, model: Model, modulus: int
 def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled rows that are not held out and scores every whole text."""
     return scored(spark, documents, fit(spark, documents, labels))
+
+
+def accepted(spark: SparkSession, documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with all their columns."""
+    known = spark.sparkContext.broadcast(model)
+    return kept(documents, lambda: lambda texts: known.value.score(np.array([known.value.evidence(t.decode()) for t in texts])) < threshold)
