@@ -8,6 +8,8 @@ One file holds one range of doc_ids in ascending order; the manifest has each fi
 from __future__ import annotations
 
 import io
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,7 +25,9 @@ from gridcalc.llm.common import bytes_of, fresh_path, gathered, open_fs, partiti
 MAGIC = b"GCTOK001"
 BLOCK = 1 << 16
 #: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: One comma or full stop at the end of a word of plain letters.
+_STOP = re.compile(rb"([a-z])([,.])(?=[\x20\x09-\x0D])")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -62,7 +66,15 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = plain_specials
+        #: One token that stands between words encoded together; as a special token it parts what is normalised.
+        self.joint = Tokenizer.from_str(tokenizer_json)
+        self.joint.no_truncation()
+        self.joint.no_padding()
+        self.between = max(((t["content"], t["id"]) for t in json.loads(tokenizer_json)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])), default=None)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        spec = json.loads(tokenizer_json)
+        # a lower-casing tokenizer whose pre-splitting parts letters from signs and drops white space
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer")) and "[^\\s\\p{L}\\p{N}]+" in str((spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
         self._forget()
 
     def _forget(self) -> None:
@@ -71,9 +83,22 @@ class Encoder:
         self.used, self.offsets, self.lengths = 0, np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        odd = [w for w in words if self.between is None or b"<" in w or b"[" in w]
+        if odd:
+            skip = set(odd)
+            words = [w for w in words if w not in skip]
+            self._add(odd, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)])
+        if words:
+            text, mark = self.between
+            ids = np.array(self.joint.encode(text.join(w.decode() for w in words), add_special_tokens=False).ids, np.uint32)
+            cut = np.r_[-1, np.flatnonzero(ids == mark), len(ids)]
+            self._store(words, ids[ids != mark], np.diff(cut) - 1)
+
+    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+        self._store(words, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())), n)
+
+    def _store(self, words: list[bytes], new: np.ndarray, n: np.ndarray) -> None:
         first = len(self.code)
         while first + len(words) > len(self.offsets):
             self.offsets, self.lengths = np.resize(self.offsets, 2 * len(self.offsets)), np.resize(self.lengths, 2 * len(self.lengths))
@@ -85,11 +110,17 @@ class Encoder:
         self.used += len(new)
         self.code.update(zip(words, range(first, first + len(words)), strict=True))
 
+    def separate(self, text: bytes) -> bytes:
+        """The same ids with fewer distinct words: in lower case where the tokenizer ignores case, commas and stops apart."""
+        if not self.folds or b"<|" in text:
+            return text
+        return _STOP.sub(rb"\1 \2", text.lower())
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of UTF-8 texts in a row, and the number of ids of each."""
         words, counts = [], []
         for t in texts:
-            w = t.split()
+            w = self.separate(t).split()
             words += w
             counts.append(len(w))
         if len(self.code) > CACHE_WORDS:
