@@ -7,8 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridcalc.llm import bpe_automaton, decontaminate, quality, simhash, token_files, toxicity
+from gridcalc.llm import bpe_automaton, decontaminate, multi_index, quality, simhash, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(spark, _table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, _table(spark, sf_dir, "pages"))
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,12 +52,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 49407)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "op6_multi_index": op6_multi_index,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
