@@ -222,6 +222,9 @@ class Compiler:
         return v.column.cast("int") if v.kind == "bool" else v.column.try_cast("double")
 
     def text(self, v: Value) -> Column:
+        """A value as text; whole numbers without a decimal point."""
+        if v.kind == "num":
+            return F.regexp_replace(v.column.cast("string"), r"\.0$", "")
         return v.column if v.kind == "text" else v.column.cast("string")
 
     def value(self, node) -> Value:
