@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridcalc.operators.frames import ROW
 
 RANGES = 200
+STEP = 14
 
 
 def exact(searched: DataFrame) -> DataFrame:
@@ -20,6 +21,15 @@ def exact(searched: DataFrame) -> DataFrame:
     return searched.where("key is not null").groupBy("key").agg(F.min_by(F.struct("row", "target"), "row").alias("hit"))
 
 
+def _range_of(bounds: list[float]) -> Column:
+    """How many of the ascending bounds are at most the key: first by every STEP-th of them, then inside that stretch."""
+    at_most = lambda values: F.aggregate(values, F.lit(0), lambda acc, b: acc + (b <= F.col("key")).cast("int"))
+    stretches = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+    coarse = at_most(F.array(*(F.lit(s[0]) for s in stretches)))
+    fine = F.array(*(F.array(*map(F.lit, s)) for s in stretches))
+    return F.when(coarse > 0, (coarse - 1) * STEP + at_most(F.element_at(fine, coarse))).otherwise(0)
+
+
 def positional(searched: DataFrame, sources: DataFrame, last: bool, numeric: bool) -> DataFrame:
     """(key, hit) for each distinct source value.
 
@@ -31,8 +41,7 @@ def positional(searched: DataFrame, sources: DataFrame, last: bool, numeric: boo
     asked = sources.where("key is not null").select("key").distinct()
     bounds = sorted(set(best.approxQuantile("key", [i / RANGES for i in range(1, RANGES)], 0.001))) if numeric else []
     both = best.select("key", F.lit(0).alias("tag"), "hit").unionByName(asked.select("key", F.lit(1).alias("tag")), allowMissingColumns=True)
-    place = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda acc, b: acc + (b <= F.col("key")).cast("int")) if bounds else F.lit(0)
-    both = both.withColumn("part", place)
+    both = both.withColumn("part", _range_of(bounds) if bounds else F.lit(0))
     pick = F.max if last else F.min
     to = (lambda c: c.asc()) if last else (lambda c: c.desc())
     inside = Window.partitionBy("part").orderBy(to(F.col("key")), "tag").rowsBetween(Window.unboundedPreceding, 0)
