@@ -7,18 +7,18 @@ length make a candidate. Word edit distance decides, over all of a candidate's n
 some passage of the text is at a distance of at most (1 - similarity) times the item's length.
 
 Windows that can't come that close are not walked: a window within d edits of an item has at least n - 1 - 2d of its
-word pairs and n - 2 - 3d of its word triples, counted exactly over all items' pairs and triples.
+word pairs, counted over all items, and n - 2 - 3d of its word triples, counted over the items of one length.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,8 @@ REPETITIONS = 40
 ITEMS_AT_ONCE = 20_000
 SLICE_BYTES = 4_000_000
 WINDOWS_AT_ONCE = 512
-_words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+_words = re.compile(r"\w+").findall
+_LOW = np.uint64((1 << 22) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,8 +107,14 @@ class Items:
         for k, (_, s) in enumerate(self.sequences):
             self.by_length[len(s)].append(k)
         self.grams = {g: np.unique(np.concatenate([self.gram_keys(s, g) for _, s in self.sequences] or [np.empty(0, np.uint64)])) for g in (2, 3)}
+        self.sieve = {}
+        for g, known in self.grams.items():
+            self.sieve[g] = np.zeros(int(_LOW) + 1, bool)
+            self.sieve[g][(known & _LOW).astype(np.int64)] = True
         self.lengths = np.array(sorted(self.by_length), np.int64)
         self.longest = int(self.lengths.max(initial=1))
+        # of the items of each length, their runs of three
+        self.of_length = [np.unique(np.concatenate([self.gram_keys(self.sequences[k][1], 3) for k in self.by_length[n]])) for n in self.lengths.tolist()]
         # the steps sampled for a length, of a walk that still runs among its words
         self.steps = np.array([[np.random.default_rng((int(n), r)).choice(max(sampled, int(n)), sampled, replace=False) for r in range(repetitions)] for n in self.lengths]).reshape(len(self.lengths), repetitions, sampled)
         self.steps = np.minimum(self.steps, self.longest - 1)
@@ -146,10 +153,16 @@ class Items:
         hit = np.zeros(len(symbols) + 1, np.int64)
         keys, known = self.gram_keys(symbols, g), self.grams[g]
         if len(keys) and len(known):
-            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit[1 : len(keys) + 1] = (known[place] == keys) & (document[g - 1 :] == document[: len(document) - g + 1])
+            maybe = np.flatnonzero(self.sieve[g][(keys & _LOW).astype(np.int64)])
+            place = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
+            sure = maybe[known[place] == keys[maybe]]
+            hit[sure[document[sure] == document[sure + g - 1]] + 1] = 1
         return np.cumsum(hit)
 
+    def need(self, n: int, g: int) -> int:
+        """Runs of ``g`` words that a window of an item of ``n`` words shares with it at least."""
+        return n - (g - 1) - g * self.allowed(n)
+
     def allowed(self, n: int) -> int:
         return int(math.floor((1 - self.similarity) * n + 1e-9))
 
@@ -162,16 +175,23 @@ class Items:
         hits = {g: self.known_grams(symbols, document, g) for g in (2, 3)}
         windows, classes = [], []
         rows = np.arange(len(symbols))
-        room = end_of - rows
+        # first, at once for all lengths of which every window shares a run of three: places before enough of those
+        least = min((self.need(n, 3) for n in self.lengths.tolist() if self.need(n, 3) > 0), default=1)
+        stop = np.minimum(rows + self.longest + int(self.allowed(self.longest)), end_of)
+        likely = np.flatnonzero(hits[3][stop] - hits[3][:-1] >= least)
+        threes = np.flatnonzero(np.diff(hits[3]))
+        keys = self.gram_keys(symbols, 3)[threes]
         for c, n in enumerate(self.lengths.tolist()):
-            d = self.allowed(n)
             starts = rows
+            if (need := self.need(n, 3)) > 0:
+                starts, own = likely, self.of_length[c]
+                at = threes[own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys]
+                starts = starts[np.searchsorted(at, np.minimum(starts + n, end_of[starts]) - 2) - np.searchsorted(at, starts) >= need]
             for g, hit in hits.items():
-                need = n - (g - 1) - g * d
-                if need > 0:
+                if (need := self.need(n, g)) > 0:
                     last = np.maximum(np.minimum(starts + n, end_of[starts]) - (g - 1), starts)
                     starts = starts[hit[last] - hit[starts] >= need]
-            starts = starts[room[starts] >= n - d]
+            starts = starts[end_of[starts] - starts >= n - self.allowed(n)]
             windows.append(starts)
             classes.append(np.full(len(starts), c))
         windows, classes = np.concatenate(windows), np.concatenate(classes)
