@@ -1,15 +1,17 @@
-"""Approximate nearest neighbours by an inverted multi-index.
+"""Exact nearest neighbours by an inverted multi-index.
 
 Both halves of a vector are quantised by centroids of their own; a pair of them is a cell. A query goes through cells by
-the sum of its halves' distances, by a heap, until they hold CANDIDATES entries, which are then ranked by exact
-distance. Entries and queries meet cell by cell in packed blocks of bounded size, so a full cell is many small tasks.
+the sum of its halves' distances, by a heap, until they hold CANDIDATES entries; the last of the nearest of these bounds
+the true distances from above. A second pass visits every cell that a lower bound on its distance does not rule out, at
+any size of table, and ranks by exact distance. Entries and queries meet cell by cell (small cells: by all cells of a
+first half) in packed blocks of bounded size, so a full cell is many small tasks.
 Equal vectors are one entry with their smallest ids: no more of them can be among the nearest.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from gridcalc.llm.common import partitions, written
 #: Rows that the centroids are fitted on at most: a bounded sample; every row is indexed.
 SAMPLE = 16_384
 CENTROIDS = 48
-#: Entries that the cells a query visits hold at least.
+#: Entries that the cells of a query's first pass hold at least; the second has no such number.
 CANDIDATES = 6_000
 ENTRY_BLOCK = 1024
 QUERY_BLOCK = 128
@@ -73,12 +75,50 @@ def visited(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: i
     return out
 
 
+def _gaps(d: np.ndarray, c: np.ndarray, scale: float) -> np.ndarray:
+    """Lower bounds on the distance of a half to the entries of each centroid, which is the nearest of these; d: its squared distances."""
+    apart = np.sqrt(distances(c, c))
+    far = apart > 1e-3 * scale  # for closer ones rounding tells as much as distance
+    return np.where(far, (d[:, None] - d[None, :]) / np.where(far, 2 * apart, 1), 0).max(1, initial=0)
+
+
+def lower_bounds(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray, radii: np.ndarray, scale: float) -> np.ndarray:
+    """A lower bound on the distance of one query to the entries of each cell (i, j).
+
+    a, b: its squared distances to the centroids; radii: (3, i, j), how far a cell's entries are from its first centroid,
+    its second and both at most; scale: the largest norm.
+    """
+    x = np.maximum(np.sqrt(a)[:, None] - radii[0], _gaps(a, first, scale)[:, None])
+    y = np.maximum(np.sqrt(b)[None, :] - radii[1], _gaps(b, second, scale)[None, :])
+    return np.maximum(np.sqrt(x * x + y * y), np.sqrt(a[:, None] + b[None, :]) - radii[2])
+
+
+def nearest_in_block(er: np.ndarray, e: np.ndarray, q: np.ndarray, bounds: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and distances of its ``n`` nearest entries that its bound allows, ties by id.
+
+    Products of matrices only leave out what is further by more than their rounding; distances are exact.
+    """
+    e2, q2 = (e * e).sum(1), (q * q).sum(1)
+    d2 = e2[None, :] - 2 * (q @ e.T) + q2[:, None]
+    out = []
+    for i in range(len(q)):
+        limit = bounds[i] ** 2
+        if len(er) > n:
+            limit = min(limit, np.partition(d2[i], n - 1)[n - 1])
+        at = np.flatnonzero(~(d2[i] > limit + 1e-11 * (e2.max() + q2[i])))
+        d = np.sqrt(((e[at] - q[i]) ** 2).sum(1))
+        top = np.lexsort((er[at], d))[:n]
+        out.append((er[at][top], d[top]))
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in column.to_pylist()])
 
 
-def _packed(df: DataFrame, name: str, size: int, counts: DataFrame) -> DataFrame:
-    """Rows (cell, rep, vector) as blocks (cell, reps, vectors) of about ``size``; counts: (cell, n), one row a cell."""
+def _packed(df: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows (cell, rep, vector) as blocks (cell, reps, vectors) of about ``size``."""
+    counts = df.groupBy("cell").agg(F.count("*").alias("n"))  # at most CENTROIDS squared
     salted = df.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / size)))
     dealt = salted.repartition(partitions(df.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt").select("cell", "salt", "rep", "vector")
     schema = pa.schema([("cell", pa.int64()), (f"{name}_reps", pa.binary()), (f"{name}_vectors", pa.binary())])
@@ -109,6 +149,7 @@ def search(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 10, id
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than the first usable one, or hold null or
     non-finite components take no part; nor do rows without an id. Rows that repeat id and vector are one row.
+    The result is exact; ``candidates`` and ``n_centroids`` only decide how much work it takes.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asked")).where("id is not null").where(usable(F.col("vector")))
@@ -127,53 +168,78 @@ def search(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 10, id
     by_vector = Window.partitionBy("vector").orderBy("id")
     few = rows.select("id", "vector").dropDuplicates().withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
     groups = few.groupBy("vector").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
-    schema = pa.schema([("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64())), ("cell", pa.int64())])
+    radius = ("r0", "r1", "r2", "norm")
+    schema = pa.schema([("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64())), ("cell", pa.int64()), *((r, pa.float64()) for r in radius)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column(2))
-                cell = nearest(v[:, :half], first) * cells[1] + nearest(v[:, half:], second)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell)], schema=schema)
+                a, b = distances(v[:, :half], first), distances(v[:, half:], second)
+                cell = a.argmin(1) * cells[1] + b.argmin(1)
+                a, b = a.min(1), b.min(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *map(pa.array, (cell, np.sqrt(a), np.sqrt(b), np.sqrt(a + b), np.sqrt((v * v).sum(1))))], schema=schema)
 
-    entries = written(spark, groups.select("rep", "ids", "vector").mapInArrow(place, "rep long, ids array<long>, vector array<double>, cell long"), "entries")
-    sizes = entries.groupBy("cell").count().withColumnRenamed("count", "n")  # at most CENTROIDS squared
-    counts = np.zeros(cells, np.int64)
-    for r in sizes.collect():
-        counts[divmod(r.cell, cells[1])] = r.n
+    entries = written(spark, groups.select("rep", "ids", "vector").mapInArrow(place, "rep long, ids array<long>, vector array<double>, cell long, r0 double, r1 double, r2 double, norm double"), "entries")
+    counts, radii, scale = np.zeros(cells, np.int64), np.zeros((3, *cells)), 0.0
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in radius)).collect():  # at most CENTROIDS squared
+        at = divmod(r.cell, cells[1])
+        counts[at], scale = r.n, max(scale, r.norm)
+        radii[:, at[0], at[1]] = r.r0, r.r1, r.r2
 
     asked = written(spark, rows.where("asked").select("id", "vector").dropDuplicates().join(entries.select("vector", "rep"), "vector").select("id", "rep"), "asked")
-    probe_schema = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("vector", pa.list_(pa.float64()))])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = _matrix(batch.column(1))
-                a, b = distances(v[:, :half], first), distances(v[:, half:], second)
-                for i in range(len(v)):
-                    found = visited(a[i], b[i], counts, candidates)
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(found), probe_schema.types[2])], schema=probe_schema)
+    probe_schema = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("vector", pa.list_(pa.float64())), ("bound", pa.float64())])
+    # cells of a unit: one where they fill blocks, else all of a first half
+    span = 1 if counts.sum() > ENTRY_BLOCK * counts.size else cells[1]
+
+    def probes(asking: DataFrame, cells_of: Callable[[np.ndarray, np.ndarray, float], list[int]]) -> DataFrame:
+        """Rows (cell, rep, vector with the bound before it) of (rep, vector, bound), for the cells that ``cells_of`` names."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    v = _matrix(batch.column(1))
+                    a, b = distances(v[:, :half], first), distances(v[:, half:], second)
+                    for i in range(len(v)):
+                        bound = batch.column(2)[i].as_py()
+                        found = cells_of(a[i], b[i], bound)
+                        n = len(found)
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, probe_schema.types[2]), pa.array([bound] * n, pa.float64())], schema=probe_schema)
+
+        rows = written(spark, asking.mapInArrow(probe, "cell long, rep long, vector array<double>, bound double"), "probes")
+        return rows.select("cell", "rep", F.concat(F.array("bound"), "vector").alias("vector"))
 
-    unique = entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vector")
-    probes = written(spark, unique.mapInArrow(probe, "cell long, rep long, vector array<double>"), "probes")
-    met = _packed(entries.select("cell", "rep", "vector"), "e", ENTRY_BLOCK, sizes).join(_packed(probes, "q", QUERY_BLOCK, probes.groupBy("cell").count().withColumnRenamed("count", "n")), "cell")
     best_schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for er, ev, qr, qv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 er, qr = np.frombuffer(er, np.int64), np.frombuffer(qr, np.int64)
-                e, q = np.frombuffer(ev).reshape(len(er), width), np.frombuffer(qv).reshape(len(qr), width)
-                out: list[tuple[np.ndarray, ...]] = []
-                for i in range(len(qr)):
-                    d = np.sqrt(((e - q[i]) ** 2).sum(1))
-                    top = np.lexsort((er, d))[: k + 1]
-                    out.append((np.full(len(top), qr[i]), er[top], d[top]))
+                e, q = np.frombuffer(ev).reshape(len(er), width), np.frombuffer(qv).reshape(len(qr), width + 1)
+                found = nearest_in_block(er, e, q[:, 1:], q[:, 0], k + 1)
+                out = [(np.full(len(reps), r), reps, d) for r, (reps, d) in zip(qr, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=best_schema)
 
-    ranked = met.select("e_reps", "e_vectors", "q_reps", "q_vectors").mapInArrow(rank, "query long, rep long, score double")
-    order = Window.partitionBy("query").orderBy("score", "rep")
-    top = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    def best(cell: Column, probed: DataFrame) -> DataFrame:
+        """The k + 1 nearest entries of each query among those that it meets, with their place."""
+        met = _packed(entries.select(cell.alias("cell"), "rep", "vector"), "e", ENTRY_BLOCK).join(_packed(probed, "q", QUERY_BLOCK), "cell")
+        ranked = met.select("e_reps", "e_vectors", "q_reps", "q_vectors").mapInArrow(rank, "query long, rep long, score double")
+        order = Window.partitionBy("query").orderBy("score", "rep")
+        return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+
+    def near(a: np.ndarray, b: np.ndarray, bound: float) -> list[int]:
+        return visited(a, b, counts, candidates)
+
+    def within(a: np.ndarray, b: np.ndarray, bound: float) -> list[int]:
+        open_to = (counts > 0) & ~(lower_bounds(a, b, first, second, radii, scale) > bound)
+        return np.unique(np.flatnonzero(open_to) // span).tolist()
+
+    unique = entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vector")
+    top = best(F.col("cell"), probes(unique.withColumn("bound", F.lit(float("inf"))), near))
+    if counts.sum() > candidates:  # else that was all
+        last = written(spark, top.where(F.col("place") == k + 1).select(F.col("query").alias("rep"), "score"), "bounds")
+        bound = F.coalesce(F.col("score") + F.lit(1e-6 * scale), F.lit(float("inf")))  # more than rounding
+        top = best(F.floor(F.col("cell") / span), probes(unique.join(last, "rep", "left").select("rep", "vector", bound.alias("bound")), within))
     hits = top.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("id"))
     lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("hits"))  # (k + 1) squared at most
     mine = asked.join(lists, asked.rep == lists.query).select(F.col("id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
