@@ -7,7 +7,7 @@ fingerprints enter the tables: exact copies never meet. Inside a bucket links be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -193,14 +193,27 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, df: DataFrame, roots: Callable[[SparkSession, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each group the one with the smallest doc_id stays.
 
+    Groups are those of ``near_duplicates``, or what ``roots`` makes of rows (key, text): (key, root), with a root a group.
     Rows without a doc_id stay; of rows that repeat the staying doc_id one does.
     """
+    if roots is not None:
+        return _one_of_each_root(spark, df, roots)
     groups = near_duplicates(spark, df)
     heads = groups.where("doc_id = component_id").select("doc_id")
     if heads.groupBy("doc_id").count().where("count > 1").take(1):
         return df.where("doc_id is null").unionByName(df.join(heads.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     gone = written(spark, groups.where("doc_id != component_id").select("doc_id"), "gone")
     return df.join(gone, "doc_id", "left_anti")
+
+
+def _one_of_each_root(spark: SparkSession, df: DataFrame, roots: Callable[[SparkSession, DataFrame], DataFrame]) -> DataFrame:
+    keyed = df.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = keyed.where("doc_id is not null")
+    of_key = roots(spark, rows.select(F.col("_key").alias("key"), "text"))
+    ids = rows.select("doc_id", "_key").join(of_key.withColumnRenamed("key", "_key").distinct(), "_key")
+    heads = ids.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("head")).select("head.doc_id", "head._key")
+    staying = rows.join(written(spark, heads, "heads"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return keyed.where("doc_id is null").unionByName(staying).select(*df.columns)
