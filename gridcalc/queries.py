@@ -28,7 +28,7 @@ _SQL_CASTS = {"d": "round(CAST({} AS DOUBLE), 6) + 0.0", "s": "round(CAST({} AS
 @dataclass
 class Spec:
     table: str
-    formula: str
+    formula: str  # {n}: the sheet's row count
     sql: str | None  # over b(row_id, n, the table's columns); None where results are random
     kind: str = "d"
     options: dict = field(default_factory=dict)
@@ -57,18 +57,21 @@ def _aggregates() -> None:
         "fr": ("E$3:F2", lambda fn, x: f"CASE WHEN row_id + 1 <= n THEN {fn}(CASE WHEN row_id >= 3 THEN {x} END) {_frame('UNBOUNDED PRECEDING', _below(1))} END"),
         "rf": ("E2:F$50", lambda fn, x: f"{fn}(CASE WHEN row_id <= 50 THEN {x} END) {_frame(_below(1), 'UNBOUNDED FOLLOWING')}"),
         "ff": ("E$3:F$40", lambda fn, x: f"(SELECT {fn}({x}) FROM b WHERE row_id BETWEEN 3 AND 40)"),
+        "rf_whole": ("E2:F${n}", lambda fn, x: f"{fn}({x}) {_frame(_below(1), 'UNBOUNDED FOLLOWING')}"),
+        "ff_whole": ("E$1:F${n}", lambda fn, x: f"(SELECT {fn}({x}) FROM b)"),
     }
+    long = ("fr", "rf_whole", "ff_whole")
     for kind, (ref, sql) in refs.items():
         count = lambda x: f"coalesce({x}, 0)" if kind != "rr" and kind != "fr" else x  # noqa: B023, E731
         for prefix, cells, suffix in (("agg", row, ""), ("aggif", hit, "if")):
             call = (lambda name: f'={name}IF({ref},">25")') if suffix else (lambda name: f"={name}({ref})")  # noqa: B023
             for fn in ("sum", "max", "min"):
-                SPECS[f"{prefix}_{fn}{suffix}_{kind}"] = Spec("lineitem", call(fn.upper()), sql(over[fn], cells[fn]), "s" if kind == "fr" else "d")
+                SPECS[f"{prefix}_{fn}{suffix}_{kind}"] = Spec("lineitem", call(fn.upper()), sql(over[fn], cells[fn]), "s" if kind in long else "d")
             outside = {"rr": 2, "fr": 1}.get(kind)
             counted = sql("sum", cells["count"])
             counted = f"CASE WHEN row_id + {outside} <= n THEN coalesce({counted}, 0) END" if outside else count(counted)
             SPECS[f"{prefix}_count{suffix}_{kind}"] = Spec("lineitem", call("COUNT"), counted, "i")
-            SPECS[f"{prefix}_average{suffix}_{kind}"] = Spec("lineitem", call("AVERAGE"), f"({sql('sum', cells['sum'])}) / nullif({sql('sum', cells['count'])}, 0)", "a" if kind == "fr" else "d")
+            SPECS[f"{prefix}_average{suffix}_{kind}"] = Spec("lineitem", call("AVERAGE"), f"({sql('sum', cells['sum'])}) / nullif({sql('sum', cells['count'])}, 0)", "a" if kind in long else "d")
     three = lambda fn, x: f"{fn}({x}) {_frame('CURRENT ROW', _below(2))}"
     SPECS["agg_sum_multi_literal"] = Spec("lineitem", "=SUM(E1:F3,10)", f"CASE WHEN row_id + 2 <= n THEN {three('sum', row['sum'])} + 10 END")
     SPECS["agg_sum_multi_ranges"] = Spec("lineitem", "=SUM(E1:F2,G$1:H1)", f"CASE WHEN row_id + 1 <= n THEN sum({row['sum']}) {_frame('CURRENT ROW', _below(1))} + sum(l_discount + l_tax) {_frame('UNBOUNDED PRECEDING', 'CURRENT ROW')} END")
@@ -87,6 +90,7 @@ def _aggregates() -> None:
     SPECS["agg_median_rr_columns"] = Spec("customer", "=MEDIAN(C1:D2)", "CASE WHEN row_id + 1 <= n THEN list_median(list_value(CAST(c_nationkey AS DOUBLE), c_acctbal, CAST(lead(c_nationkey) OVER (ORDER BY row_id) AS DOUBLE), lead(c_acctbal) OVER (ORDER BY row_id))) END")
     SPECS["agg_median_fr"] = Spec("supplier", "=MEDIAN(D$1:D1)", f"quantile_cont(s_acctbal, 0.5) {_frame('UNBOUNDED PRECEDING', 'CURRENT ROW')}")
     SPECS["agg_median_rf"] = Spec("supplier", "=MEDIAN(D1:D$8)", f"quantile_cont(CASE WHEN row_id <= 8 THEN s_acctbal END, 0.5) {_frame('CURRENT ROW', 'UNBOUNDED FOLLOWING')}")
+    SPECS["agg_median_rf_whole"] = Spec("supplier", "=MEDIAN(D1:D${n})", f"quantile_cont(s_acctbal, 0.5) {_frame('CURRENT ROW', 'UNBOUNDED FOLLOWING')}")
     SPECS["agg_median_ff"] = Spec("lineitem", "=MEDIAN(E$3:F$40)", "(SELECT quantile_cont(x, 0.5) FROM (SELECT l_quantity AS x FROM b WHERE row_id BETWEEN 3 AND 40 UNION ALL SELECT l_extendedprice FROM b WHERE row_id BETWEEN 3 AND 40))")
 
 
@@ -126,6 +130,14 @@ def _lookups() -> None:
     SPECS["match_approx"] = Spec("lineitem", "=MATCH(B1,A$1:A$5000,1)", "s.r", "i", joins=f"LEFT JOIN (SELECT k, (SELECT max(row_id) FROM b WHERE {within} AND l_orderkey <= k) AS r FROM (SELECT DISTINCT l_partkey AS k FROM b)) s ON s.k = b.l_partkey")
     SPECS["vlookup_exact"] = Spec("lineitem", "=VLOOKUP(B1,A$1:F$5000,5,0)", "s.q", joins=first)
     SPECS["hlookup_exact"] = Spec("lineitem", "=HLOOKUP(D1,E$1:H$4,3)", "CASE l_linenumber WHEN (SELECT l_quantity FROM b WHERE row_id = 1) THEN (SELECT l_quantity FROM b WHERE row_id = 3) WHEN (SELECT l_extendedprice FROM b WHERE row_id = 1) THEN (SELECT l_extendedprice FROM b WHERE row_id = 3) WHEN (SELECT l_discount FROM b WHERE row_id = 1) THEN (SELECT l_discount FROM b WHERE row_id = 3) WHEN (SELECT l_tax FROM b WHERE row_id = 1) THEN (SELECT l_tax FROM b WHERE row_id = 3) END")
+    # the same over the whole column
+    first = first.replace(f" WHERE {within}", "")
+    asof = "LEFT JOIN (SELECT p.k, t.l_quantity AS q, t.row_id AS r FROM (SELECT DISTINCT l_partkey AS k FROM b) p ASOF JOIN (SELECT l_orderkey AS o, {fn}({fn}(row_id)) OVER (ORDER BY l_orderkey {way}) AS r FROM b GROUP BY 1) v ON p.k {op} v.o JOIN b t ON t.row_id = v.r) s ON s.k = b.l_partkey"
+    last_le, first_ge = asof.format(fn="max", way="ASC", op=">="), asof.format(fn="min", way="DESC", op="<=")
+    index = SPECS["index_fixed"].joins.replace(" AND t.row_id <= 5000", "")
+    for name, joins in {"lookup_exact": first, "lookup_approx_le": last_le, "lookup_approx_ge": first_ge, "lookup_in_if": first, "index_fixed": index, "match_exact": first, "match_approx": last_le, "vlookup_exact": first}.items():
+        part = SPECS[name]
+        SPECS[f"{name}_whole"] = Spec(part.table, part.formula.replace("$5000", "${n}"), part.sql, part.kind, joins=joins)
     for s in SPECS.values():
         if s.joins:
             for c in ("l_quantity", "l_extendedprice", "row_id"):
@@ -188,7 +200,8 @@ def sheet(spark: SparkSession, sf_dir: str, table: str, **options) -> Sheet:
 
 def _query(spec: Spec) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = sheet(spark, sf_dir, spec.table, **spec.options).compute(spec.formula)
+        cells = sheet(spark, sf_dir, spec.table, **spec.options)
+        out = cells.compute(spec.formula.replace("{n}", str(cells.rows)) if "{n}" in spec.formula else spec.formula)
         return out.select("row_id", _CASTS[spec.kind](F.col("value")).alias("value"))
 
     return run
