@@ -26,6 +26,8 @@ TERMS = 1024
 LATENT = 48
 NEIGHBOURS = 15
 CACHE_WORDS = 400_000
+#: Runs of characters in one term at most; longer words are several terms.
+PIECE_RUNS = 6
 _runs = regex.compile(r"\p{Lu}+|\p{Ll}+|\p{L}+|\p{N}+|(\W)\1*|.", regex.DOTALL)
 
 
@@ -35,11 +37,17 @@ def shape(word: str) -> str:
     for m in _runs.finditer(word):
         c = m[0][0]
         out.append("A" if c.isupper() else "a" if c.islower() else "x" if c.isalpha() else "0" if c.isdigit() else c + c if len(m[0]) > 1 else c)
-        if len(out) == 6:
-            break
     return "".join(out)
 
 
+def pieces(word: str) -> list[str]:
+    """A word in pieces of at most PIECE_RUNS runs."""
+    if len(word) <= PIECE_RUNS:
+        return [word]
+    starts = [m.start() for m in _runs.finditer(word)][::PIECE_RUNS]
+    return [word[i:j] for i, j in zip(starts, [*starts[1:], len(word)], strict=True)]
+
+
 def _place(term: str) -> int:
     return zlib.crc32(term.encode()) % TERMS
 
@@ -62,7 +70,7 @@ class Terms:
         return len(self.shape_of) - 1
 
     def vector(self, text: str) -> np.ndarray:
-        words = text.split()
+        words = [p for w in text.split() for p in (pieces(w) if len(w) > PIECE_RUNS and w not in self.codes else (w,))]
         if not words:
             return np.zeros(TERMS, np.float32)
         if len(self.codes) > CACHE_WORDS:
