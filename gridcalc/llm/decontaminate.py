@@ -264,7 +264,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, similarity: float):
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     blocks = max(1, math.ceil(items.count() / ITEMS_AT_ONCE))
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         yield spark.sparkContext.broadcast(Items(sorted(tuple(r) for r in part.collect()), similarity))
 
 
@@ -272,7 +272,7 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, sim
     """One row for each document and benchmark item that it holds: doc_id, item_id, distance, first_word, end_word.
 
     Null and empty texts and items hold nothing and are held by nothing. A null doc_id is kept as null; rows that repeat
-    a doc_id give a row each. Every item is searched in every whole text.
+    a doc_id give a row each. Every item with an item_id is searched in every whole text.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "first_word", "end_word")])
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -294,8 +294,8 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, sim
 
 
 def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``documents`` that hold no benchmark item, with all their columns."""
-    for known in _blocks(spark, benchmark, similarity):
+    """The rows of ``documents`` that hold no benchmark item, with all their columns; items without an item_id count too."""
+    for known in _blocks(spark, benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.lit(-1))), similarity):
 
         def start(known=known):
             searcher = Searcher(known.value)
