@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import bytes_of, gathered, text_batches
+from gridcalc.llm.common import bytes_of, gathered, text_slices
 
 #: The pre-splitting pattern of byte-level BPE, as the vocabulary file's format names it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -260,7 +260,7 @@ def _mapped(spark: SparkSession, df: DataFrame, tokenizer_json: str, schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(known.value)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             rows, texts, held = [], [], 0
 
             def flush() -> None:
@@ -283,5 +283,4 @@ def _mapped(spark: SparkSession, df: DataFrame, tokenizer_json: str, schema: str
             columns = list(zip(*rows, strict=True)) or [[] for _ in arrow.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
-    text_batches(spark)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch when a column holds whole texts; bounds a Python worker's memory.
-TEXT_BATCH_ROWS = 1000
+#: Rows and bytes of text that a Python worker takes up at once, a longer text alone.
+SLICE_ROWS, SLICE_BYTES = 1000, 4_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,9 +57,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def text_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of a bounded size, whatever the session's settings; the column at ``at`` holds texts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(ends, (int(ends[a - 1]) if a else 0) + SLICE_BYTES, "right"))
+            b = min(max(b, a + 1), a + SLICE_ROWS)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -102,9 +112,7 @@ def kept(df: DataFrame, start: Callable[[], Callable[[list[bytes]], np.ndarray]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = start()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(test(bytes_of(batch.column(at))), pa.bool_()))
+        for batch in text_slices(batches, at):
+            yield batch.filter(pa.array(test(bytes_of(batch.column(at))), pa.bool_()))
 
-    text_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import bytes_of, kept, text_batches
+from gridcalc.llm.common import bytes_of, kept, text_slices
 
 SIMILARITY = 0.8
 #: Outputs sampled of each walk, and walks: over 0.99 of passages at the largest distance meet (see the tests).
@@ -276,13 +276,12 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, sim
     """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "first_word", "end_word")])
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text_batches(spark)
     out = None
     for known in _blocks(spark, benchmark, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(known.value)
-            for batch in batches:
+            for batch in text_slices(batches, 1):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], *rest) for d, *rest in searcher.search([t.decode() for t in bytes_of(batch.column(1))])]
                 if rows:

@@ -27,8 +27,6 @@ CENTROIDS = 48
 CANDIDATES = 6_000
 ENTRY_BLOCK = 1024
 QUERY_BLOCK = 128
-#: Packed blocks of one Arrow batch.
-BATCH_BLOCKS = 40
 
 
 def usable(vector: Column) -> Column:
@@ -151,7 +149,6 @@ def search(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 10, id
     non-finite components take no part; nor do rows without an id. Rows that repeat id and vector are one row.
     The result is exact; ``candidates`` and ``n_centroids`` only decide how much work it takes.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asked")).where("id is not null").where(usable(F.col("vector")))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcalc.llm import labelled
-from gridcalc.llm.common import bytes_of, kept, text_batches
+from gridcalc.llm.common import bytes_of, kept, text_slices
 
 #: Examples of each class at most: a classifier's fit on a bounded sample.
 PER_CLASS = 2000
@@ -127,13 +127,12 @@ class Model:
 
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, per_class: int = PER_CLASS) -> Model:
     """Takes vectors of at most ``per_class`` documents of each class outside the held-out remainder."""
-    text_batches(spark)
     rows = labelled.sample(documents, labels, "quality", modulus, held, per_class)
     schema = pa.schema([("label", pa.int32()), ("vector", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             label, text = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([terms.vector(t).astype("<f2").tobytes() for t in text], pa.binary())], schema=schema)
 
@@ -158,12 +157,10 @@ def scored(spark: SparkSession, documents: DataFrame, model: Model, modulus: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([terms.vector(t.decode()) for t in bytes_of(batch.column(2))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known.value.score(x))], schema=schema)
+        for batch in text_slices(batches, 2):
+            x = np.array([terms.vector(t.decode()) for t in bytes_of(batch.column(2))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known.value.score(x))], schema=schema)
 
-    text_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(labelled.remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

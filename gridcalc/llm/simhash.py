@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import bytes_of, partitions, rows_of, text_batches, written
+from gridcalc.llm.common import bytes_of, partitions, rows_of, text_slices, written
 from gridcalc.llm.components import components, local_roots
 
 #: For each byte, its eight bits in the eight bytes of a word: sums of up to 255 hashes fit.
@@ -60,9 +60,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        return rows_of(batches, schema, lambda b: [b.column(0), fingerprints_of(bytes_of(b.column(1)), ngram).view(np.int64)])
+        return rows_of(text_slices(batches, 1), schema, lambda b: [b.column(0), fingerprints_of(bytes_of(b.column(1)), ngram).view(np.int64)])
 
-    text_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

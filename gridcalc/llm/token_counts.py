@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import bytes_of, fresh_path, open_fs, partitions, put_file, text_batches
+from gridcalc.llm.common import bytes_of, fresh_path, open_fs, partitions, put_file, text_slices
 from gridcalc.llm.token_files import encoder
 
 #: Ids of one block of the scan.
@@ -44,13 +44,12 @@ def write_flat(spark: SparkSession, df: DataFrame, tokenizer_json: str, end_id:
             nonlocal total
             own = encoder(known.value, plain_specials=True)
             kind = f"<u{width_for(own.vocabulary)}"
-            for batch in batches:
-                if batch.num_rows:
-                    ids, counts = own.encode(bytes_of(batch.column(1)))
-                    flat = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
-                    out.write(flat.astype(kind).tobytes())
-                    docs.append(batch.column(0))
-                    total += len(flat)
+            for batch in text_slices(batches, 1):
+                ids, counts = own.encode(bytes_of(batch.column(1)))
+                flat = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+                out.write(flat.astype(kind).tobytes())
+                docs.append(batch.column(0))
+                total += len(flat)
 
         put_file(f"{folder}/flat-{part:06d}.bin", fill)
         at = 0
@@ -58,7 +57,6 @@ def write_flat(spark: SparkSession, df: DataFrame, tokenizer_json: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), part)), pa.array(np.arange(at, at + len(d))), d, pa.array(np.full(len(d), total))], schema=schema)
             at += len(d)
 
-    text_batches(spark)
     path = fresh_path(spark, "flat-docs")
     rows.mapInArrow(run, "file long, ordinal long, doc_id long, ids long").write.parquet(path)
     table = spark.read.schema("file long, ordinal long, doc_id long, ids long").parquet(path)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import bytes_of, fresh_path, gathered, open_fs, partitions, put_file, text_batches
+from gridcalc.llm.common import bytes_of, fresh_path, gathered, open_fs, partitions, put_file, text_slices
 
 MAGIC = b"GCTOK001"
 BLOCK = 1 << 16
@@ -258,18 +258,16 @@ def write_tokens(spark: SparkSession, df: DataFrame, tokenizer_json: str, end_id
         def fill(out) -> None:
             own = encoder(known.value)
             writer = Writer(out, bits_for(own.vocabulary))
-            for batch in batches:
-                if batch.num_rows:
-                    ids, counts = with_ends(*own.encode(bytes_of(batch.column(1))), end_id)
-                    writer.add(batch.column(0), ids, counts)
-                    totals[1] += batch.num_rows
+            for batch in text_slices(batches, 1):
+                ids, counts = with_ends(*own.encode(bytes_of(batch.column(1))), end_id)
+                writer.add(batch.column(0), ids, counts)
+                totals[1] += batch.num_rows
             writer.close()
             totals[0] = writer.total
 
         put_file(uri, fill)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, uri, *totals)], schema=schema)
 
-    text_batches(spark)
     found = sorted(tuple(r) for r in docs.mapInArrow(run, "part long, uri string, ids long, docs long").collect())  # a row a file
     files, at = [], 0
     for _, uri, ids, count in found:

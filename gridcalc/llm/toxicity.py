@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcalc.llm import labelled
-from gridcalc.llm.common import bytes_of, kept, text_batches
+from gridcalc.llm.common import bytes_of, kept, text_slices
 
 #: Examples of each class at most: a classifier's fit on a bounded sample.
 PER_CLASS = 1500
@@ -155,7 +155,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("label", pa.int32()), ("fold", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             counts: dict[tuple[int, int], Counter] = defaultdict(Counter)
             for label, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts[label, fold].update(words(text))
@@ -169,7 +169,6 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
     """Trains on at most ``per_class`` documents of each class outside the held-out remainder."""
     from gridcalc.llm.common import written
 
-    text_batches(spark)
     rows = labelled.sample(documents, labels, "toxic", modulus, held, per_class)
     rows = written(spark, rows.withColumn("fold", (F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(FOLDS))).cast("int")), "toxic-sample")
     counts = {(c, k): Counter() for c in (0, 1) for k in range(FOLDS)}
@@ -184,7 +183,7 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
     schema = pa.schema([("label", pa.int32()), ("evidence", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             label, fold, text = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([known.value[k].evidence(t).tolist() for k, t in zip(fold, text, strict=True)], schema.types[1])], schema=schema)
 
@@ -213,12 +212,10 @@ def scored(spark: SparkSession, documents: DataFrame, model: Model, modulus: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        for batch in batches:
-            if batch.num_rows:
-                evidence = np.array([own.evidence(t.decode()) for t in bytes_of(batch.column(2))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.score(evidence))], schema=schema)
+        for batch in text_slices(batches, 2):
+            evidence = np.array([own.evidence(t.decode()) for t in bytes_of(batch.column(2))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.score(evidence))], schema=schema)
 
-    text_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(labelled.remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

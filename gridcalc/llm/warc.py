@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcalc.llm.common import fresh_path, open_fs, partitions, put_file, text_batches, written
+from gridcalc.llm.common import fresh_path, open_fs, partitions, put_file, text_slices, written
 
 BLOCK_LINES = 3000
 #: Payloads of fewer bytes are always responses.
@@ -100,7 +100,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
 
         def fill(out) -> None:
             at = 0
-            for batch in batches:
+            for batch in text_slices(batches, 2):
                 for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     payload = (html or "").encode()
                     data = make_record(page_id, url, payload, digest, refers_to, refers_to is not None)
@@ -112,7 +112,6 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    text_batches(spark)
     return written(spark, records.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
