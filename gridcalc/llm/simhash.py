@@ -192,27 +192,32 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, df: DataFrame, roots: Callable[[SparkSession, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each group the one with the smallest doc_id stays.
+def roots(spark: SparkSession, texts: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame:
+    """(key, root) for each row (key, text) of ``texts``: equal roots for texts whose fingerprints a chain of links joins."""
+    schema = pa.schema([("key", pa.string()), ("fp", pa.int64())])
 
-    Groups are those of ``near_duplicates``, or what ``roots`` makes of rows (key, text): (key, root), with a root a group.
-    Rows without a doc_id stay; of rows that repeat the staying doc_id one does.
+    def run(batches):
+        return rows_of(text_slices(batches, 1), schema, lambda b: [b.column(0), fingerprints_of(bytes_of(b.column(1)), ngram).view(np.int64)])
+
+    fps = written(spark, texts.select("key", "text").mapInArrow(run, "key string, fp long"), "fingerprints")
+    found = components(spark, links(spark, fps.select("fp").distinct(), max_bits))
+    return fps.join(found, fps.fp == found.node, "left").select("key", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(spark: SparkSession, df: DataFrame, roots: Callable[[SparkSession, DataFrame], DataFrame] = roots) -> DataFrame:
+    """The rows of ``df`` (doc_id, text and any others) without near-duplicates: of each group the one with the smallest doc_id stays.
+
+    Groups are those of ``roots``, which makes of rows (key, text) rows (key, root), with a root a group; by default by
+    fingerprints. Null and empty texts are equal texts. Rows without a doc_id stay and speak for no other. Of rows that
+    share the smallest doc_id of a group, one of the text whose digest is least stays; rows of one doc_id with texts of
+    different groups are judged each in their own. An empty table gives an empty result.
     """
-    if roots is not None:
-        return _one_of_each_root(spark, df, roots)
-    groups = near_duplicates(spark, df)
-    heads = groups.where("doc_id = component_id").select("doc_id")
-    if heads.groupBy("doc_id").count().where("count > 1").take(1):
-        return df.where("doc_id is null").unionByName(df.join(heads.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    gone = written(spark, groups.where("doc_id != component_id").select("doc_id"), "gone")
-    return df.join(gone, "doc_id", "left_anti")
-
-
-def _one_of_each_root(spark: SparkSession, df: DataFrame, roots: Callable[[SparkSession, DataFrame], DataFrame]) -> DataFrame:
-    keyed = df.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = keyed.where("doc_id is not null")
-    of_key = roots(spark, rows.select(F.col("_key").alias("key"), "text"))
-    ids = rows.select("doc_id", "_key").join(of_key.withColumnRenamed("key", "_key").distinct(), "_key")
-    heads = ids.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("head")).select("head.doc_id", "head._key")
-    staying = rows.join(written(spark, heads, "heads"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return keyed.where("doc_id is null").unionByName(staying).select(*df.columns)
+    key, own = "_gridcalc_key", F.col("doc_id").cast("long")
+    keyed = df.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    rows = keyed.where(own.isNotNull())
+    of_key = roots(spark, rows.select(F.col(key).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).distinct()
+    least = rows.groupBy(key).agg(F.min(own).alias("_gridcalc_id"))
+    heads = least.join(of_key.withColumnRenamed("key", key), key).groupBy("root").agg(F.min(F.struct("_gridcalc_id", key)).alias("head"))
+    heads = written(spark, heads.select("head._gridcalc_id", f"head.{key}"), "heads")
+    staying = rows.join(heads, (rows[key] == heads[key]) & (own == heads["_gridcalc_id"]), "left_semi")
+    return keyed.where(own.isNull()).unionByName(staying.dropDuplicates(["doc_id", key])).select(*df.columns)
