@@ -24,10 +24,14 @@ from gridcalc.llm.common import bytes_of, fresh_path, gathered, open_fs, partiti
 
 MAGIC = b"GCTOK001"
 BLOCK = 1 << 16
-#: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 1_000_000
-#: One comma or full stop at the end of a word of plain letters.
-_STOP = re.compile(rb"([a-z])([,.])(?=[\x20\x09-\x0D])")
+#: Distinct words whose ids one Python worker keeps, and pieces of words.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
+#: Words of these signs hold nothing that composes, and each letter has one lower-case letter.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: How a tokenizer whose pre-splitting pattern is FOLDED parts such a word in lower case.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Fixed value: the pre-splitting pattern of the lower-casing tokenizer, as its vocabulary file has it.
+FOLDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -73,61 +77,80 @@ class Encoder:
         self.between = max(((t["content"], t["id"]) for t in json.loads(tokenizer_json)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])), default=None)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         spec = json.loads(tokenizer_json)
-        # a lower-casing tokenizer whose pre-splitting parts letters from signs and drops white space
-        self.folds = "Lowercase" in json.dumps(spec.get("normalizer")) and "[^\\s\\p{L}\\p{N}]+" in str((spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer")) and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex") == FOLDED
         self._forget()
 
     def _forget(self) -> None:
         self.code: dict[bytes, int] = {}
+        self.pieces: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.used, self.offsets, self.lengths = 0, np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used, self.known, self.offsets, self.lengths = 0, 0, np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _trim(self) -> None:
+        """Forgets all words, and their pieces if these are too many."""
+        pieces = list(self.pieces) if len(self.pieces) <= CACHE_PIECES else []
+        codes = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        ids, n = self.flat[gathered(self.offsets, self.lengths, codes)], self.lengths[codes]
+        self._forget()
+        self.pieces.update(zip(pieces, self._store(ids, n), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if self.between is None or b"<" in w or b"[" in w]
+        """Ids of new words: those of their pieces, one after the other."""
+        parted = [self._parted(w.decode()) for w in words]
+        new = list({x for pieces in parted for x in pieces}.difference(self.pieces))
+        odd = [x for x in new if self.between is None or "<" in x or "[" in x]
         if odd:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self.pieces.update(zip(odd, self._store(np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))), strict=True))
             skip = set(odd)
-            words = [w for w in words if w not in skip]
-            self._add(odd, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)])
-        if words:
+            new = [x for x in new if x not in skip]
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
             text, mark = self.between
-            ids = np.array(self.joint.encode(text.join(w.decode() for w in words), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.joint.encode_batch_fast([text.join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.r_[-1, np.flatnonzero(ids == mark), len(ids)]
-            self._store(words, ids[ids != mark], np.diff(cut) - 1)
-
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._store(words, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())), n)
-
-    def _store(self, words: list[bytes], new: np.ndarray, n: np.ndarray) -> None:
-        first = len(self.code)
-        while first + len(words) > len(self.offsets):
+            self.pieces.update(zip(some, self._store(ids[ids != mark], np.diff(cut) - 1), strict=True))
+        known = self.pieces
+        self.code.update((w, known[p[0]]) for w, p in zip(words, parted, strict=True) if len(p) == 1)
+        several = [(w, p) for w, p in zip(words, parted, strict=True) if len(p) > 1]
+        if several:
+            codes = np.array([known[x] for _, p in several for x in p], np.int64)
+            starts = np.cumsum([0] + [len(p) for _, p in several[:-1]])
+            at = self._store(self.flat[gathered(self.offsets, self.lengths, codes)], np.add.reduceat(self.lengths[codes], starts))
+            self.code.update(zip((w for w, _ in several), at, strict=True))
+
+    def _store(self, new: np.ndarray, n: np.ndarray) -> range:
+        """The codes of runs of ids."""
+        first, last = self.known, self.known + len(n)
+        while last > len(self.offsets):
             self.offsets, self.lengths = np.resize(self.offsets, 2 * len(self.offsets)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(new) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(new)] = new
-        self.offsets[first : first + len(words)] = self.used + np.cumsum(n) - n
-        self.lengths[first : first + len(words)] = n
-        self.used += len(new)
-        self.code.update(zip(words, range(first, first + len(words)), strict=True))
+        self.offsets[first:last] = self.used + np.cumsum(n) - n
+        self.lengths[first:last] = n
+        self.used, self.known = self.used + len(new), last
+        return range(first, last)
+
+    def _parted(self, word: str) -> list[str]:
+        """The pieces that the tokenizer makes of a word of plain signs, in lower case if it folds case; others stay whole.
 
-    def separate(self, text: bytes) -> bytes:
-        """The same ids with fewer distinct words: in lower case where the tokenizer ignores case, commas and stops apart."""
-        if not self.folds or b"<|" in text:
-            return text
-        return _STOP.sub(rb"\1 \2", text.lower())
+        No other letters are folded here: what composes with a mark must do so before it is lowered.
+        """
+        if not self.folds or not _PLAIN(word) or "<|" in word:
+            return [word]
+        return _PIECES(word.lower())
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of UTF-8 texts in a row, and the number of ids of each."""
         words, counts = [], []
         for t in texts:
-            w = self.separate(t).split()
+            w = t.split()
             words += w
             counts.append(len(w))
         if len(self.code) > CACHE_WORDS:
-            self._forget()
-        new = list(set(words).difference(self.code))
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
+            self._trim()
+        self._learn(list(set(words).difference(self.code)))
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         ids = self.flat[gathered(self.offsets, self.lengths, codes)]
         total = np.r_[0, np.cumsum(self.lengths[codes])]

@@ -15,7 +15,7 @@ WORD, BYTE = (Path(public_tokenizers.path(n)).read_text() for n in ("word_bpe_49
 
 def odd_texts():
     r = random.Random(0)
-    fixed = ["", "  a  b\n\n c<|endoftext|> d", "\0<|endoftext|>", "don't we'll\xa0 　x", "日本語 🎉 é", "a" * 5000, "\x1c a\x85b <|startoftext|>x", "́ Σ ΑΣ İ"]
+    fixed = ["J\u030c abc H\u0331 T\u0308 W\u030a, X.", "Êa,!! don't DON'T 'Tis x'S '' ÀÿÖß×÷ªºµ 12a3 a1.5-b ,'s ciónsé$$$", "Word, WORD. word word,\u0301 A\u030a. end.", "a\x85B\x1cC\xa0D\u2028E <|ENDOFTEXT|> <|endoftext|>, [X] <|startoftext|>.", "", "  a  b\n\n c<|endoftext|> d", "\0<|endoftext|>", "don't we'll\xa0 　x", "日本語 🎉 é", "a" * 5000, "\x1c a\x85b <|startoftext|>x", "́ Σ ΑΣ İ"]
     return fixed + ["".join(r.choice("aeinorst  lhd'\né\xf1🎉01.,-ABT") for _ in range(r.randrange(70))) for _ in range(400)]
 
 
@@ -54,6 +54,23 @@ def test_pack_and_unpack(bits):
     assert (token_files.unpack(data, 700, bits, 300) == ids[300:1000]).all()
 
 
+def test_encoder_equals_library_on_marks_and_signs():
+    r = random.Random(7)
+    letters = "JHTWAaijkXYÀÿß×÷ºµst01,.,.  <|>[]'\x1c\x85\xa0\u0301\u030c\u0331\u0308\u030a\u0345\u1e9e\u0130\u212b\u1f88\u03a3"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)] + ["<|endoftext|>," * 3, "A <|endoftext|>b", "<|startoftext|><|endoftext|> X,"]
+    for plain in (False, True):
+        library = Tokenizer.from_str(WORD)
+        library.encode_special_tokens = plain
+        own = token_files.Encoder(WORD, plain)
+        own.encode([t.encode() for t in texts[::2]])
+        own._trim()
+        ids, counts = own.encode([t.encode() for t in texts])
+        at = 0
+        for t, n, want in zip(texts, counts.tolist(), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids[at : at + n].tolist() == want.ids, repr(t)
+            at += n
+
+
 def test_token_files_equal_library(spark):
     rows = [(i * 3, t) for i, t in enumerate(odd_texts())] + [(None, "no id"), (5000, None), (5000, "twice"), (5001, "x " * 90_000)]
     df = spark.createDataFrame([(d, t, "n", 1) for d, t in rows], "doc_id long, text string, uri string, ids int").repartition(5)
