@@ -285,7 +285,7 @@ def _counts_of(total: np.ndarray) -> list[int]:
 
 
 def _sums(context: np.ndarray, size: int, total: np.ndarray, low: np.ndarray) -> np.ndarray:
-    out = np.empty((size, 2 * SMALL + 2), np.int64)
+    out = np.empty((size, 2 * SMALL + 2), np.int32 if max(total.sum(), low.sum()) < 1 << 31 else np.int64)
     for k, c in enumerate((total, low)):
         c = np.where(total > 0, c, 0)
         for r in range(1, SMALL + 1):
@@ -299,6 +299,7 @@ def add_sequences(blobs: list[bytes], first: int, length: int, hot: bool, order:
     sent = [unpack(b) for b in blobs]
     numbers, names = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
     size, starts = len(numbers), np.cumsum([0] + [len(s[0]) for s in sent])
+    names = names.astype(np.int32)
     word_counts = np.zeros(size, np.int64)
     word_counts[names] = np.concatenate([s[1] for s in sent])
 
@@ -312,7 +313,7 @@ def add_sequences(blobs: list[bytes], first: int, length: int, hot: bool, order:
     del sent
     answers: list[list[np.ndarray]] = [[] for _ in blobs]
     rows: list[tuple] = []
-    context = distinct(contexts(before[: first - 1], size))[0]
+    context = distinct(contexts(before[: first - 1], size))[0]  # wide: products of two names follow
     for k in range(first, length + 1):
         if k > first:
             context = distinct(context * size + before[k - 2])[0]
