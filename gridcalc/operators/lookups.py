@@ -1,8 +1,8 @@
 """LOOKUP, INDEX and MATCH as joins of a sheet with itself.
 
 Exact matches reduce the searched column to one row a value before joining. Positional matches ("the last row whose value
-is not above") meet on a value axis cut into ranges at sampled quantiles: a running best inside each range and the best
-of the ranges before, of which there are at most RANGES. Only distinct values take part.
+is not above") meet on a value axis cut into ranges at quantiles of a sample, of texts as of numbers: a running best
+inside each range and the best of the ranges before, of which there are at most RANGES. Only distinct values take part.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from gridcalc.operators.frames import ROW
 
-RANGES = 200
-STEP = 14
+RANGES = 1000
+#: Rows of one range, about, and values that the ranges' bounds are taken from.
+RANGE_ROWS = 1_000_000
+SAMPLE = 50_000
 
 
 def exact(searched: DataFrame) -> DataFrame:
@@ -21,16 +23,28 @@ def exact(searched: DataFrame) -> DataFrame:
     return searched.where("key is not null").groupBy("key").agg(F.min_by(F.struct("row", "target"), "row").alias("hit"))
 
 
-def _range_of(bounds: list[float]) -> Column:
-    """How many of the ascending bounds are at most the key: first by every STEP-th of them, then inside that stretch."""
-    at_most = lambda values: F.aggregate(values, F.lit(0), lambda acc, b: acc + (b <= F.col("key")).cast("int"))
-    stretches = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
-    coarse = at_most(F.array(*(F.lit(s[0]) for s in stretches)))
-    fine = F.array(*(F.array(*map(F.lit, s)) for s in stretches))
-    return F.when(coarse > 0, (coarse - 1) * STEP + at_most(F.element_at(fine, coarse))).otherwise(0)
+def range_of(key: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most the key, by bisection."""
 
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(bounds[middle]), among(low, middle)).otherwise(among(middle + 1, high))
 
-def positional(searched: DataFrame, sources: DataFrame, last: bool, numeric: bool) -> DataFrame:
+    return among(0, len(bounds))
+
+
+def sampled_bounds(keys: DataFrame, rows: int) -> list:
+    """Ascending bounds that cut a column of distinct keys into ranges of RANGE_ROWS, about; at most RANGES of them."""
+    ranges = min(RANGES, -(-rows // RANGE_ROWS))
+    if ranges < 2:
+        return []
+    found = sorted(r.key for r in keys.select("key").orderBy(F.xxhash64("key")).limit(SAMPLE).collect())  # SAMPLE values
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def positional(searched: DataFrame, sources: DataFrame, last: bool, rows: int) -> DataFrame:
     """(key, hit) for each distinct source value.
 
     With ``last`` the hit is the last row whose value is at most the source; without, the first whose value is at least
@@ -39,12 +53,14 @@ def positional(searched: DataFrame, sources: DataFrame, last: bool, numeric: boo
     keep = F.max_by if last else F.min_by
     best = searched.where("key is not null").groupBy("key").agg(keep(F.struct("row", "target"), "row").alias("hit"))
     asked = sources.where("key is not null").select("key").distinct()
-    bounds = sorted(set(best.approxQuantile("key", [i / RANGES for i in range(1, RANGES)], 0.001))) if numeric else []
+    bounds = sampled_bounds(best, rows)
     both = best.select("key", F.lit(0).alias("tag"), "hit").unionByName(asked.select("key", F.lit(1).alias("tag")), allowMissingColumns=True)
-    both = both.withColumn("part", _range_of(bounds) if bounds else F.lit(0))
+    both = both.withColumn("part", range_of(F.col("key"), bounds))
     pick = F.max if last else F.min
     to = (lambda c: c.asc()) if last else (lambda c: c.desc())
     inside = Window.partitionBy("part").orderBy(to(F.col("key")), "tag").rowsBetween(Window.unboundedPreceding, 0)
+    if not bounds:
+        return both.withColumn("own", pick("hit").over(inside)).where("tag = 1").select("key", F.col("own").alias("hit"))
     others = Window.partitionBy(F.lit(0)).orderBy(to(F.col("part"))).rowsBetween(Window.unboundedPreceding, -1)
     carried = both.groupBy("part").agg(pick("hit").alias("own")).select("part", pick("own").over(others).alias("carried"))
     found = both.withColumn("own", pick("hit").over(inside)).join(F.broadcast(carried), "part")  # at most RANGES rows

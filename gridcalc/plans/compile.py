@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from gridcalc.errors import InvalidArguments
 from gridcalc.functions.scalar import FUNCTIONS
-from gridcalc.operators import aggregates, frames, lookups
+from gridcalc.operators import aggregates, frames, lookups, medians
 from gridcalc.operators.frames import ROW, Moving, Requests, Running
 from gridcalc.plans.analyze import AGGREGATES, ARITHMETIC, COMPARISONS, CONDITIONAL
 from gridcalc.plans.tree import Call, Literal, Ref, RefType
@@ -177,11 +177,12 @@ class Compiler:
         return self.df.crossJoin(F.broadcast(self._cells(ref).agg(F.percentile("x", 0.5).alias(name))))  # one row
 
     def _running_median(self, name: str, ref: Ref) -> DataFrame:
-        """Not decomposable: every row's median over all cells up to it, ordered in one task."""
+        """Every row's median over all cells up to it; rows are asked about in the order of the window's growth."""
         forward = ref.kind is RefType.FR
-        order = Window.orderBy(ROW if forward else F.desc(ROW)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         offset = ref.last_row if forward else ref.row
-        at = self._cells(ref).select((F.col(ROW) - offset).alias("__at"), F.percentile("x", 0.5).over(order).alias(name)).groupBy("__at").agg(F.max(name).alias(name))
+        found = medians.running(self._cells(ref), F.col(ROW) if forward else -F.col(ROW), self.rows * len(ref.columns))
+        own = F.col("__at") if forward else -F.col("__at")
+        at = found.select((own - offset).alias("__at"), F.col("median").alias(name))
         if forward and self.options.boundary == "clip":  # rows whose last cell lies below the bottom see them all
             asked = F.least(F.col(ROW), F.lit(self.rows - offset))
         else:
@@ -378,7 +379,7 @@ class Compiler:
         if mode == 0:
             hits = lookups.exact(searched)
         else:
-            hits = lookups.positional(searched, lookups.distinct_sources(self.df, asked), mode == 1, numeric)
+            hits = lookups.positional(searched, lookups.distinct_sources(self.df, asked), mode == 1, self.rows)
         self.df = lookups.join_key(self.df, asked, hits, column_name)
         hit = F.col(column_name)
         if column is None:

@@ -14,24 +14,25 @@ from gridcalc.plans.analyze import check
 from gridcalc.plans.compile import Compiler, Options, cell
 from gridcalc.plans.parser import parse
 from gridcalc.plans.tree import column_letters
-from gridcalc.sources.tables import check_key, number_rows, read_jdbc
+from gridcalc.sources.tables import check_key, delete, number_rows, read_jdbc
 
 
 class Sheet:
     """``compute`` gives a lazy DataFrame (row_id, value), one row for each row of the sheet."""
 
-    def __init__(self, df: DataFrame, order_by: Sequence[str], options: Options | None = None, precedence: str = "flat", check_keys: bool = False):
+    def __init__(self, df: DataFrame, order_by: Sequence[str], options: Options | None = None, precedence: str = "flat", check_keys: bool = False, key: Sequence[str] | None = None):
         if not order_by:
             raise SheetConfigError("a sheet needs the columns that order its rows")
         known = {c.lower() for c in df.columns}
-        if missing := [c for c in order_by if c.lower() not in known]:
+        if missing := [c for c in [*order_by, *(key or ())] if c.lower() not in known]:
             raise SheetConfigError(f"no such column: {', '.join(missing)}")
         if check_keys:
-            check_key(df, list(order_by))
+            check_key(df, list(key or order_by))
         self.source, self.order_by, self.options, self.precedence = df, list(order_by), options or Options(), precedence
         self.names, self.types = df.columns, [f.dataType for f in df.schema.fields]
         self._rows: int | None = None
         self._numbered: DataFrame | None = None
+        self._folder: str | None = None
         self._metrics: dict[str, float] = {}
 
     @classmethod
@@ -46,15 +47,16 @@ class Sheet:
     @classmethod
     def from_table(cls, spark: SparkSession, table: str, key: Sequence[str], order_by: Sequence[str] | None = None, **options) -> Sheet:
         """A table of the catalogue. Windows past the bottom are clipped, SUMIF without a match is null."""
-        return cls._with(spark.table(table), order_by or key, {"boundary": "clip", "sumif_empty": "null"} | options)
+        return cls._with(spark.table(table), order_by or key, {"key": key, "boundary": "clip", "sumif_empty": "null"} | options)
 
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, table: str, user: str, password: str, order_by: Sequence[str], read: dict | None = None, **options) -> Sheet:
-        return cls._with(read_jdbc(spark, url, table, user, password, **(read or {})), order_by, {"boundary": "clip", "sumif_empty": "null"} | options)
+    def from_jdbc(cls, spark: SparkSession, url: str, table: str, user: str, password: str, order_by: Sequence[str] | None = None, key: Sequence[str] | None = None, read: dict | None = None, **options) -> Sheet:
+        """A table over JDBC, in the order of its key unless ``order_by`` tells another; ``read`` has options of the reader."""
+        return cls._with(read_jdbc(spark, url, table, user, password, **(read or {})), order_by or key or [], {"key": key, "boundary": "clip", "sumif_empty": "null"} | options)
 
     @classmethod
     def _with(cls, df: DataFrame, order_by: Sequence[str], options: dict) -> Sheet:
-        own = {k: options.pop(k) for k in ("precedence", "check_keys") if k in options}
+        own = {k: options.pop(k) for k in ("precedence", "check_keys", "key") if k in options}
         made = Options(**options)
         if made.boundary not in ("null", "clip") or made.sumif_empty not in ("zero", "null"):
             raise SheetConfigError("boundary is 'null' or 'clip', sumif_empty 'zero' or 'null'")
@@ -74,7 +76,7 @@ class Sheet:
     def numbered(self) -> DataFrame:
         """The rows with their numbers, columns named by place."""
         if self._numbered is None:
-            df = number_rows(self.source, self.order_by, self.rows)
+            df, self._folder = number_rows(self.source, self.order_by, self.rows)
             # by place: names may repeat but for their case
             self._numbered = df.toDF(*[cell(i) for i in range(len(self.names))], ROW)
         return self._numbered
@@ -127,8 +129,21 @@ class Sheet:
     def reset_metrics(self) -> None:
         self._metrics = {}
 
+    def persist(self) -> Sheet:
+        """Keeps the numbered rows in memory, and on disk where they don't fit, for the formulas to come."""
+        self.numbered().persist()
+        return self
+
+    def create_view(self, name: str) -> None:
+        """The numbered rows as a temporary view: row_id, and columns by letter."""
+        df = self.numbered()
+        df.select(F.col(ROW).alias("row_id"), *(F.col(cell(i)).alias(column_letters(i)) for i in range(len(self.names)))).createOrReplaceTempView(name)
+
     def close(self) -> None:
-        """Forgets the numbered rows."""
+        """Forgets the numbered rows and deletes what was written for them; results not yet computed can't be any more."""
         if self._numbered is not None:
             self._numbered.unpersist()
             self._numbered = None
+        if self._folder is not None:
+            delete(self.source.sparkSession, self._folder)
+            self._folder = None

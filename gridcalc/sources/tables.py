@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridcalc.errors import SheetConfigError
 from gridcalc.operators.frames import ROW
 
-#: Tables up to this size are numbered by one ordered window.
-ONE_TASK_ROWS = 1_000_000
+#: Tables up to this size are numbered by one ordered window; rows of one range of larger ones, about.
+ONE_TASK_ROWS = 100_000
+RANGE_ROWS = 1_000_000
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = False) -> DataFrame:
@@ -50,22 +51,46 @@ def check_key(df: DataFrame, columns: list[str]) -> None:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridcalc-rows-")
-    return f"{root.rstrip('/')}/gridcalc/rows-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SheetConfigError("numbering a large table takes a folder that driver and executors share: set spark.checkpoint.dir")
+        root = "file://" + tempfile.mkdtemp(prefix="gridcalc-rows-")
+    path = f"{root.rstrip('/')}/gridcalc/rows-{uuid.uuid4().hex}"
+    file_system, jvm_path = _file_system(spark, path)
+    file_system.deleteOnExit(jvm_path)
+    return path
 
 
-def number_rows(df: DataFrame, order_by: list[str], rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Adds the column ROW, 1 to n in the order of ``order_by``.
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    file_system, jvm_path = _file_system(spark, path)
+    file_system.delete(jvm_path, True)
+
+
+def _hashed(df: DataFrame) -> list[Column]:
+    """What orders rows of equal keys: a hash of all that can be hashed; rows that agree in it have the same cells."""
+    fine = [c for c, f in zip(df.columns, df.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return [F.xxhash64(*(F.col(f"`{c}`") for c in fine))] if fine and len({c.lower() for c in df.columns}) == len(df.columns) else []
+
+
+def number_rows(df: DataFrame, order_by: list[str], rows: int, one_task_rows: int = ONE_TASK_ROWS) -> tuple[DataFrame, str | None]:
+    """Adds the column ROW, 1 to n in the order of ``order_by``; also gives the folder of what was written for it.
 
     A large table is dealt out by ranges of the key, sorted within them and written with each row's place; the ranges'
     sizes, one number a partition, give the places' offsets.
     """
+    order = [*map(F.col, order_by), *_hashed(df)]
     if rows <= one_task_rows:
-        return df.withColumn(ROW, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
+        return df.withColumn(ROW, F.row_number().over(Window.orderBy(*order)).cast("long")), None
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // one_task_rows))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
     place = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("__place", place).select("*", F.shiftright("__place", 33).alias("__part"), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)).alias("__in")).drop("__place")
     path = _folder(spark)
     ranged.write.parquet(path)
@@ -74,4 +99,4 @@ def number_rows(df: DataFrame, order_by: list[str], rows: int, one_task_rows: in
     for r in sorted(table.groupBy("__part").count().collect()):  # one row a partition
         offsets[r["__part"]], total = total, total + r["count"]
     start = spark.createDataFrame(list(offsets.items()), "__part long, __start long")
-    return table.join(F.broadcast(start), "__part").withColumn(ROW, F.col("__start") + F.col("__in") + 1).drop("__part", "__in", "__start")
+    return table.join(F.broadcast(start), "__part").withColumn(ROW, F.col("__start") + F.col("__in") + 1).drop("__part", "__in", "__start"), path

@@ -1,4 +1,7 @@
 import math
+import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +9,7 @@ from pyspark.sql import types as T
 
 from gridcalc import Sheet, register
 from gridcalc.errors import FormulaNotSupported, FunctionNotSupported, SheetConfigError
-from gridcalc.operators import frames
+from gridcalc.operators import frames, lookups, medians
 from gridcalc.sources import tables
 from gridcalc.streaming import with_formula
 
@@ -202,8 +205,83 @@ def test_sources(spark, tmp_path):
 
 def test_dense_numbers_of_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(1).alias("v"))
-    got = tables.number_rows(df, ["k"], 1000, one_task_rows=100).select("k", frames.ROW).collect()
+    numbered, folder = tables.number_rows(df, ["k"], 1000, one_task_rows=100)
+    got = numbered.select("k", frames.ROW).collect()
     assert sorted((r[0], r[1]) for r in got) == [(i, i + 1) for i in range(1000)]
+    assert os.path.exists(folder.removeprefix("file://"))
+    tables.delete(spark, folder)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_rows_of_equal_keys_have_one_order(spark):
+    df = spark.createDataFrame([(1, i * 7 % 50) for i in range(50)], "k long, v long")
+    order = [[r.v for r in tables.number_rows(x, ["k"], 50)[0].orderBy(frames.ROW).collect()] for x in (df, df.repartition(5, "v"))]
+    assert order[0] == order[1]
+
+
+@pytest.mark.parametrize("formula", ["=MEDIAN(A$3:A1)", "=MEDIAN(A1:B$250)", "=MEDIAN(A$1:B2)"])
+@pytest.mark.parametrize("boundary", ["null", "clip"])
+def test_running_median_over_ranges_and_buckets(spark, monkeypatch, formula, boundary):
+    """Few cells a range, frequent values, nulls, askers in several stretches."""
+    for name, n in (("RANGE_CELLS", 60), ("BUCKET_ROWS", 32), ("STRETCH", 70)):
+        monkeypatch.setattr(medians, name, n)
+    rng = random.Random(1)
+    rows = [(None if rng.random() < 0.1 else float(rng.choice([5, 5, 5, rng.randrange(40)])), rng.random() * 20 if k > 4 else None) for k in range(300)]
+    got = Keyed(spark, rows, [D, D], boundary=boundary)(formula)
+
+    def want(k):
+        if formula == "=MEDIAN(A1:B$250)":
+            cells = [x for r in rows[k:250] for x in r]
+        else:
+            end = k + 1 if formula == "=MEDIAN(A$3:A1)" else k + 2
+            if end > len(rows) and boundary == "null":
+                return None
+            cells = [r[0] for r in rows[2:end]] if formula == "=MEDIAN(A$3:A1)" else [x for r in rows[:end] for x in r]
+        cells = [x for x in cells if x is not None]
+        return statistics.median(cells) if cells else None
+
+    assert got == [want(k) for k in range(300)]
+
+
+def test_lookup_over_ranges_of_numbers_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "RANGE_ROWS", 20)
+    rng = random.Random(2)
+    rows = [(float(rng.randrange(90)), f"t{rng.randrange(90):02d}", float(k)) for k in range(200)]
+    sheet = Keyed(spark, rows, [D, S, D])
+    for c, letter in ((0, "A"), (1, "B")):
+        for mode, at in ((1, lambda r, s: max((k for k, x in enumerate(rows) if x[r] <= s), default=None)), (-1, lambda r, s: min((k for k, x in enumerate(rows) if x[r] >= s), default=None))):
+            got = sheet(f"=LOOKUP({letter}1,{letter}$1:{letter}$200,C$1:C$200,{mode})")
+            assert got == [None if (k := at(c, x[c])) is None else rows[k][2] for x in rows]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """Over the database that comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(k, k * 1.5, f"n{k}") for k in range(1, 41)], "id long, price double, name string").write.format("jdbc").options(url=url, dbtable="items", user="u", password="p", **options).save()
+    read = options | {"partition_column": "id", "bounds": (1, 41), "partitions": 3}
+    sheet = Sheet.from_jdbc(spark, url, "items", "u", "p", key=["id"], read=read, check_keys=True)
+    assert sheet.source.rdd.getNumPartitions() == 3
+    got = [r.value for r in sheet.compute("=SUM(B1:B2)").orderBy("row_id").collect()]
+    assert got == [1.5 * k + 1.5 * (k + 1) for k in range(1, 40)] + [60.0]
+    with pytest.raises(SheetConfigError):
+        Sheet.from_jdbc(spark, url, "items", "u", "p", key=["nope"], read=read)
+
+
+def test_key_is_checked_beside_another_order(spark):
+    spark.createDataFrame([(1, 3), (1, 2)], "k long, o long").createOrReplaceTempView("keyed")
+    assert Sheet.from_table(spark, "keyed", key=["k"], order_by=["o"]).rows == 2
+    with pytest.raises(SheetConfigError):
+        Sheet.from_table(spark, "keyed", key=["k"], order_by=["o"], check_keys=True)
+
+
+def test_view_and_several_formulas_of_one_sheet(spark):
+    sheet = Sheet.from_dataframe(spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 5.0)], "k long, v double"), ["k"]).persist()
+    sheet.create_view("own_sheet")
+    assert [tuple(r) for r in spark.sql("select row_id, A, B from own_sheet order by row_id").collect()] == [(1, 1, 2.0), (2, 2, 3.0), (3, 3, 5.0)]
+    got = sheet.compute_columns({"s": "=SUM(B$1:B1)", "m": "=MAX(B1:B2)"}).orderBy("row_id").collect()
+    assert [(r.s, r.m) for r in got] == [(2.0, 3.0), (5.0, 5.0), (10.0, None)]
+    sheet.close()
 
 
 def test_no_single_partition_exchange_in_frames(spark):
