@@ -19,10 +19,10 @@ KEYS = {
 }
 #: d: doubles that are exact at six places; s: long running sums of cents; a: long running means, shifted off exact halves.
 _CASTS = {
-    "d": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0), "s": lambda c: F.round(c.cast("double"), 4), "a": lambda c: F.round(c.cast("double") + F.lit(0.0123), 1),
+    "d": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0), "s": lambda c: F.round(c.cast("double"), 4), "a": lambda c: F.round(c.cast("double") + F.lit(0.00123), 2),
     "i": lambda c: c.cast("long"), "t": lambda c: c.cast("string"), "b": lambda c: c.cast("boolean"),
 }
-_SQL_CASTS = {"d": "round(CAST({} AS DOUBLE), 6) + 0.0", "s": "round(CAST({} AS DOUBLE), 4)", "a": "round(CAST({} AS DOUBLE) + 0.0123, 1)", "i": "CAST({} AS BIGINT)", "t": "CAST({} AS VARCHAR)", "b": "CAST({} AS BOOLEAN)"}
+_SQL_CASTS = {"d": "round(CAST({} AS DOUBLE), 6) + 0.0", "s": "round(CAST({} AS DOUBLE), 4)", "a": "round(CAST({} AS DOUBLE) + 0.00123, 2)", "i": "CAST({} AS BIGINT)", "t": "CAST({} AS VARCHAR)", "b": "CAST({} AS BOOLEAN)"}
 
 
 @dataclass
@@ -128,6 +128,7 @@ def _lookups() -> None:
     SPECS["index_moving"] = Spec("lineitem", "=INDEX(E2:F5,D1,1)", "t.l_extendedprice", joins="LEFT JOIN b t ON t.row_id = b.row_id + 1 + b.l_linenumber - 1 AND b.l_linenumber <= 4")
     SPECS["match_exact"] = Spec("lineitem", "=MATCH(B1,A$1:A$5000,0)", "s.r", "i", joins=first)
     SPECS["match_approx"] = Spec("lineitem", "=MATCH(B1,A$1:A$5000,1)", "s.r", "i", joins=f"LEFT JOIN (SELECT k, (SELECT max(row_id) FROM b WHERE {within} AND l_orderkey <= k) AS r FROM (SELECT DISTINCT l_partkey AS k FROM b)) s ON s.k = b.l_partkey")
+    SPECS["vlookup_approx"] = Spec("lineitem", "=VLOOKUP(B1,A$1:F$5000,5,1)", "s.q", joins=asof.format(fn="max", op="<="))
     SPECS["vlookup_exact"] = Spec("lineitem", "=VLOOKUP(B1,A$1:F$5000,5,0)", "s.q", joins=first)
     SPECS["hlookup_exact"] = Spec("lineitem", "=HLOOKUP(D1,E$1:H$4,3)", "CASE l_linenumber WHEN (SELECT l_quantity FROM b WHERE row_id = 1) THEN (SELECT l_quantity FROM b WHERE row_id = 3) WHEN (SELECT l_extendedprice FROM b WHERE row_id = 1) THEN (SELECT l_extendedprice FROM b WHERE row_id = 3) WHEN (SELECT l_discount FROM b WHERE row_id = 1) THEN (SELECT l_discount FROM b WHERE row_id = 3) WHEN (SELECT l_tax FROM b WHERE row_id = 1) THEN (SELECT l_tax FROM b WHERE row_id = 3) END")
     # the same over the whole column
@@ -185,6 +186,8 @@ def _scalars() -> None:
     }
     for name, (args, sql, kind) in texts.items():
         SPECS[f"text_{name}"] = Spec("part", f"={name.upper()}({args})", sql, kind)
+    SPECS["text_value_time"] = Spec("part", '=VALUE(CONCAT(MOD(E1,12),":",RIGHT(CONCAT("0",MOD(E1,60)),2),":30 PM"))', "((p_size % 12 + 12) * 3600 + (p_size % 60) * 60 + 30) / 86400.0")
+    SPECS["text_value_percent"] = Spec("part", '=VALUE(CONCAT(E1,".5%"))', "(p_size + 0.5) / 100")
     SPECS["text_value_date"] = Spec("part", '=VALUE(CONCAT("2001-09-",RIGHT(CONCAT("0",MOD(E1,28)+1),2)))', "date_diff('day', DATE '1899-12-30', DATE '2001-09-01') + p_size % 28")
 
 
@@ -223,10 +226,11 @@ def stream_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridcalc.streaming import with_formula
 
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
-    return with_formula(rows, "=ROUND(B1*2,1)+1").select("event_id", F.round("value", 4).alias("value"))
+    return with_formula(rows, "=ROUND(B1*2,1)+1", name="result").select("event_id", F.round("result", 4).alias("value"))
 
 
 FLAGSHIP = "ctl_if_aggregates"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(spec) for name, spec in SPECS.items()} | {"sheet_head": sheet_head}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(spec) for name, spec in SPECS.items()} | {"sheet_head": sheet_head, "stream_formula": stream_formula}
 ORACLES: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items() if spec.sql is not None}
+ORACLES["stream_formula"] = "SELECT event_id, round(round(value * 2, 1) + 1, 4) AS value FROM events"
 ORACLES["sheet_head"] = "SELECT row_number() OVER (ORDER BY s_suppkey) AS row_id, s_suppkey AS A, s_name AS B, s_nationkey AS C, s_acctbal AS D FROM supplier ORDER BY s_suppkey LIMIT 10"
