@@ -27,6 +27,8 @@ CENTROIDS = 48
 CANDIDATES = 6_000
 ENTRY_BLOCK = 1024
 QUERY_BLOCK = 128
+#: Blocks of one group: what one side of a task holds of a cell.
+GROUP = 64
 
 
 def usable(vector: Column) -> Column:
@@ -114,12 +116,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in column.to_pylist()])
 
 
-def _packed(df: DataFrame, name: str, size: int) -> DataFrame:
-    """Rows (cell, rep, vector) as blocks (cell, reps, vectors) of about ``size``."""
+def _packed(df: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (cell, rep, vector) as blocks (cell, group, reps, vectors) of about ``size``, GROUP of them a group; and the
+    groups of each cell."""
     counts = df.groupBy("cell").agg(F.count("*").alias("n"))  # at most CENTROIDS squared
     salted = df.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / size)))
     dealt = salted.repartition(partitions(df.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt").select("cell", "salt", "rep", "vector")
-    schema = pa.schema([("cell", pa.int64()), (f"{name}_reps", pa.binary()), (f"{name}_vectors", pa.binary())])
+    schema = pa.schema([("cell", pa.int64()), ("salt", pa.int64()), (f"{name}_reps", pa.binary()), (f"{name}_vectors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -128,7 +131,7 @@ def _packed(df: DataFrame, name: str, size: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             reps, vectors = np.array([r for r, _ in held], np.int64), np.array([v for _, v in held], np.float64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([reps.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([reps.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
             for cell, salt, rep, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -139,24 +142,42 @@ def _packed(df: DataFrame, name: str, size: int) -> DataFrame:
         if held:
             yield block()
 
-    return dealt.mapInArrow(run, f"cell long, {name}_reps binary, {name}_vectors binary")
+    blocks = dealt.mapInArrow(run, f"cell long, salt long, {name}_reps binary, {name}_vectors binary")
+    groups = counts.select("cell", F.ceil(F.ceil(F.col("n") / size) / GROUP).alias(f"{name}_groups"))
+    return blocks.withColumn(f"{name}_group", F.floor(F.col("salt") / GROUP)).drop("salt"), groups
+
+
+def _met(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """Blocks of entries and queries of one cell, side by side: a full cell is as many tasks as pairs of groups."""
+    e, e_groups = _packed(entries, "e", ENTRY_BLOCK)
+    q, q_groups = _packed(queries, "q", QUERY_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    e = e.join(F.broadcast(q_groups), "cell").withColumn("q_group", each("q_groups"))
+    q = q.join(F.broadcast(e_groups), "cell").withColumn("e_group", each("e_groups"))
+    return e.join(q, ["cell", "e_group", "q_group"])
 
 
 def search(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, n_centroids: int = CENTROIDS) -> DataFrame:
     """For each query row its ``k`` nearest other rows: query_id, rank, vec_id, score (Euclidean distance).
 
-    Ties go to the smaller id. Vectors that are null, zero, of another length than the first usable one, or hold null or
-    non-finite components take no part; nor do rows without an id. Rows that repeat id and vector are one row.
-    The result is exact; ``candidates`` and ``n_centroids`` only decide how much work it takes.
+    Ties go to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor
+    do rows without an id. Vectors of each length have an index of their own: there is no distance between lengths.
+    Rows that repeat id and vector are one row; an id with several vectors asks with each, and its own are not its
+    neighbours. The result is exact; ``candidates`` and ``n_centroids`` only decide how much work it takes. An empty
+    table gives an empty result; other columns are not looked at.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asked")).where("id is not null").where(usable(F.col("vector")))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = None
+    for r in rows.groupBy(F.size("vector").alias("width")).agg(F.max("asked").alias("asked")).where("asked").orderBy("width").collect():  # a row a length
+        found = _search(spark, rows.where(F.size("vector") == r.width), r.width, k, candidates, n_centroids)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(spark: SparkSession, rows: DataFrame, width: int, k: int, candidates: int, n_centroids: int) -> DataFrame:
+    """The search among vectors of one length: rows (id, vector, asked), one at least."""
     sample = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows
-    if not sample:
-        return empty
-    width = len(sample[0].vector)
-    rows = rows.where(F.size("vector") == width)
-    x = np.array([r.vector for r in sample if len(r.vector) == width])
+    x = np.array([r.vector for r in sample])
     half = width // 2
     first, second = (centroids(x[:, part], n_centroids) for part in (slice(0, half), slice(half, width)))
     cells = (len(first), len(second))
@@ -219,7 +240,7 @@ def search(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 10, id
 
     def best(cell: Column, probed: DataFrame) -> DataFrame:
         """The k + 1 nearest entries of each query among those that it meets, with their place."""
-        met = _packed(entries.select(cell.alias("cell"), "rep", "vector"), "e", ENTRY_BLOCK).join(_packed(probed, "q", QUERY_BLOCK), "cell")
+        met = _met(entries.select(cell.alias("cell"), "rep", "vector"), probed)
         ranked = met.select("e_reps", "e_vectors", "q_reps", "q_vectors").mapInArrow(rank, "query long, rep long, score double")
         order = Window.partitionBy("query").orderBy("score", "rep")
         return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)

@@ -39,3 +39,21 @@ def test_lower_bounds_are_below_every_distance():
         assert (low <= true + 1e-6 * scale).all()
         far += (low > 0.3 * true).mean()
     assert far > 15
+
+
+def test_each_length_has_its_own_index(spark, monkeypatch):
+    """And full cells are dealt in groups."""
+    monkeypatch.setattr(multi_index, "ENTRY_BLOCK", 16)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(multi_index, "GROUP", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=w).tolist()) for w, ids in ((4, range(300)), (2, range(300, 330)), (1, range(330, 345))) for i in ids]
+    df = spark.createDataFrame(rows + [(400, [])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in multi_index.search(spark, df, F.col("vec_id") % 5 == 0, candidates=60, n_centroids=3).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert set(got) == set(range(0, 345, 5))
+    for q, hits in got.items():
+        v = rows[q][1]
+        d = sorted((np.linalg.norm(np.subtract(w, v)), i) for i, w in rows if i != q and len(w) == len(v))
+        assert [hits[k] for k in range(1, 11)] == [i for _, i in d[:10]]
