@@ -143,6 +143,10 @@ def write_index(spark: SparkSession, captures: DataFrame, folder: str, block_lin
                         flush()
             if held:
                 flush()
+            # the shard's part of the directory, and its length
+            data = gzip.compress(json.dumps([[b[0], *b[2:4]] for b in blocks]).encode(), 6, mtime=0)
+            out.write(data)
+            out.write(len(data).to_bytes(8, "little"))
 
         put_file(uri, fill)
         if blocks:
@@ -157,6 +161,27 @@ def _range(uri: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+def _lines(shard: str, offset: int, length: int) -> tuple[list[str], list[list]]:
+    """The keys and captures of one index block."""
+    lines = [json.loads(x) for x in gzip.decompress(_range(shard, offset, length)).decode().split("\n")]
+    return [x[0] for x in lines], lines
+
+
+def _directory(shard: str) -> tuple[list[str], list[list]]:
+    """A shard's part of the directory: first keys, and (first key, offset, length) of its blocks."""
+    file_system, path = open_fs(shard)
+    with file_system.open_input_file(path) as f:
+        size = f.size()
+        n = int.from_bytes(f.read_at(8, size - 8), "little")
+        entries = json.loads(gzip.decompress(f.read_at(n, size - 8 - n)))
+    return [e[0] for e in entries], entries
+
+
+def _open(firsts: list[str], key: str) -> range:
+    """Which of the sorted blocks (or shards) with these first keys may hold a key, by bisection; it may begin in the one before."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
+
+
 class Index:
     """Looks captures up by URL. The directory is one entry for BLOCK_LINES captures."""
 
@@ -167,35 +192,70 @@ class Index:
     def captures(self, url: str) -> list[tuple]:
         """(key, page_id, file, offset, length) of every capture of the URL."""
         key, out = url_key(url), []
-        k = max(0, bisect.bisect_left(self.keys, key) - 1)  # a key's lines may begin in the block before
-        while k < len(self.entries) and self.keys[k] <= key:
-            lines = [json.loads(x) for x in gzip.decompress(_range(*self.entries[k][1:])).decode().split("\n")]
-            i = bisect.bisect_left([x[0] for x in lines], key)
-            while i < len(lines) and lines[i][0] == key:
-                out.append(tuple(lines[i]))
-                i += 1
-            k += 1
+        for k in _open(self.keys, key):
+            keys, lines = _lines(*self.entries[k][1:])
+            out += map(tuple, lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)])
         return out
 
     def records(self, url: str) -> list[tuple[dict[str, str], bytes, bytes]]:
         return [parse_record(gzip.decompress(_range(*c[2:]))) for c in self.captures(url)]
 
 
-def read_archives(spark: SparkSession, directory: DataFrame) -> DataFrame:
-    """Per record, from the archives by way of the index: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def located(spark: SparkSession, urls: DataFrame, directory: DataFrame) -> DataFrame:
+    """(file, offset, length) of every capture of the URLs of a table (url), looked up in the index; each capture once.
 
-    Index blocks give the captures; an archive's records are read in ranges by the order of their places. A response's
-    digest is that of the payload read, which must be the one in its head.
+    Keys, each once, are dealt by ranges; a task bisects the shards' first keys (a row a shard), reads the directories of
+    those it needs and bisects these. The blocks found are dealt singly, so that a key with very many captures is many
+    tasks, and bisected for the keys that led to them.
     """
+    key_schema = pa.schema([("key", pa.string())])
+    block_schema = pa.schema([("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("key", pa.string())])
     lines_schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    shards = sorted(tuple(r) for r in directory.groupBy("shard").agg(F.min("first_key").alias("first")).select("first", "shard").collect())  # a row a shard
+    firsts = [f for f, _ in shards]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in batch.column(0).to_pylist()}), pa.string())], schema=key_schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[list[str], list[list]]] = {}
         for batch in batches:
-            for shard, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [json.loads(x) for x in gzip.decompress(_range(shard, offset, length)).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in lines], t) for k, t in zip((2, 3, 4), lines_schema.types, strict=True)], schema=lines_schema)
+            rows = []
+            for key in batch.column(0).to_pylist():
+                for s in _open(firsts, key):
+                    if s not in known:
+                        for old in [k for k in known if k < s - 1]:  # keys ascend
+                            del known[old]
+                        known[s] = _directory(shards[s][1])
+                    own, entries = known[s]
+                    rows += [(shards[s][1], entries[k][1], entries[k][2], key) for k in _open(own, key)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), block_schema.types, strict=True)], schema=block_schema)
+
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            found = []
+            for shard, offset, length, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (shard, offset):
+                    at, (keys, lines) = (shard, offset), _lines(shard, offset, length)
+                found += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in zip((2, 3, 4), lines_schema.types, strict=True)], schema=lines_schema)
+
+    n = partitions(spark)
+    keys = urls.select(F.col("url").cast("string")).mapInArrow(keyed, "key string").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    found = keys.mapInArrow(blocks, "shard string, offset long, length long, key string")
+    return found.repartition(n, "shard", "offset").sortWithinPartitions("shard", "offset", "key").mapInArrow(captures, "file string, offset long, length long")
 
-    captures = directory.select("shard", "offset", "length").repartition(partitions(spark)).mapInArrow(blocks, "file string, offset long, length long")
+
+def read_archives(spark: SparkSession, captures: DataFrame) -> DataFrame:
+    """Per capture (file, offset, length), from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    An archive's records are read in ranges by the order of their places. A response's digest is that of the payload
+    read, which must be the one in its head.
+    """
     captures = captures.repartition(partitions(spark), "file").sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
@@ -237,10 +297,11 @@ def read_archives(spark: SparkSession, directory: DataFrame) -> DataFrame:
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes archives and index for ``pages`` (page_id, url, html) and reads every record back.
+    """Writes archives and index for ``pages`` (page_id, url, html) and reads every record back by way of the index.
 
     Null html is an empty payload, a null url an empty one. A page without a page_id is always a response. Rows that
     repeat a page_id are records of their own, equal payloads among them too. An empty table gives an empty result.
     """
     folder = fresh_path(spark, "warc")
-    return read_archives(spark, write_index(spark, write_archives(spark, pages, folder), folder))
+    directory = write_index(spark, write_archives(spark, pages, folder), folder)
+    return read_archives(spark, located(spark, pages, directory))

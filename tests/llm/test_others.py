@@ -29,9 +29,20 @@ def test_warc_round_trip_and_lookup(spark):
     assert sorted(h["WARC-Page-ID"] for h, _, _ in found) == ["2", "3"]
     assert {h["WARC-Type"]: p for h, _, p in found} == {"revisit": b"", "response": b"short"}
     assert index.records("http://nowhere.example/") == []
+    directory = warc.write_index(spark, captures, fresh_path(spark, "w"), block_lines=2)
+    urls = spark.createDataFrame([("http://a.example.org/x",), ("http://nowhere.example/",), ("http://a.example.org/x",), (None,)], "url string")
+    places = {tuple(r) for r in warc.located(spark, urls, directory).collect()}
+    assert places == {(c.file, c.offset, c.length) for c in captures.collect() if c.page_id in (2, 3, 5)}
     assert warc.archive(spark, df.limit(0)).collect() == []
 
 
+def test_one_key_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc.write_index, "__defaults__", (2,))
+    pages = [(k, "http://hot.example/" if k % 3 else f"http://h{k % 7}.example/{k}", f"page {k}") for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archive(spark, df).collect()) == list(range(60))
+
+
 def test_url_keys_sort_by_host():
     assert warc.url_key("https://www.Blog.example.com:443/A?b=C") == "com,example,blog)/a?b=c"
     assert warc.url_key("http://x.org:8080") == "org,x:8080)/"
