@@ -178,18 +178,18 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: i
             counts[label, fold][word] = n
     del table
     others = lambda c, k: sum((counts[c, j] for j in range(FOLDS) if j != k), Counter())
-    folds = [Model(others(1, k), others(0, k)) for k in range(FOLDS)]
-    known = spark.sparkContext.broadcast(folds)  # models of a bounded sample
     schema = pa.schema([("label", pa.int32()), ("evidence", pa.list_(pa.float64()))])
+    got = []
+    for k in range(FOLDS):  # one model of a bounded sample at a time
+        known = spark.sparkContext.broadcast(Model(others(1, k), others(0, k)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 2):
-            label, fold, text = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([known.value[k].evidence(t).tolist() for k, t in zip(fold, text, strict=True)], schema.types[1])], schema=schema)
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches, 1):
+                label, text = (c.to_pylist() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([known.value.evidence(t).tolist() for t in text], schema.types[1])], schema=schema)
 
-    got = rows.select("label", "fold", "text").mapInArrow(run, "label int, evidence array<double>").collect()  # a row an example
-    known.unpersist()
-    del folds
+        got += rows.where(F.col("fold") == k).select("label", "text").mapInArrow(run, "label int, evidence array<double>").collect()  # a row an example
+        known.destroy()
     model = Model(others(1, None), others(0, None))
     y = np.array([r.label for r in got], float)
     if len(got) and 0 < y.mean() < 1:
