@@ -66,7 +66,7 @@ class Terms:
         if s not in self.shapes:
             self.shapes[s] = len(self.shapes)
             self.single.append(_place("s" + s))
-        self.shape_of.append(self.shapes[s] * 32 + min(31, len(word)))
+        self.shape_of.append(self.shapes[s] * 64 + (len(word) if len(word) < 32 else 26 + len(word).bit_length()))
         return len(self.shape_of) - 1
 
     def vector(self, text: str) -> np.ndarray:
@@ -80,10 +80,10 @@ class Terms:
             codes[w] = self._code(w)
         c = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
         both = np.fromiter(map(self.shape_of.__getitem__, c), np.int64, len(c))
-        single = np.array(self.single)[both >> 5]
+        single = np.array(self.single)[both >> 6]
         pairs = (single[:-1] * 7919 + single[1:] * 104729 + 13) % TERMS
         again = np.where(c[1:] == c[:-1], _place("again"), _place("fresh"))
-        lengths = (both & 31) * 31 % TERMS
+        lengths = (both & 63) * 31 % TERMS
         counts = np.bincount(np.concatenate([single, pairs, again, lengths]), minlength=TERMS).astype(np.float32)
         kinds = len(np.unique(c)) / len(c)  # how much of the text repeats, as far as its length lets it show
         counts[_place(f"kinds{int(4 * kinds)}")] += len(c) / 2
