@@ -24,9 +24,9 @@ from gridcalc.llm.common import bytes_of, gathered, text_slices
 #: The pre-splitting pattern of byte-level BPE, as the vocabulary file's format names it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-split words whose ids one Python worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Looked-up arcs that one Python worker keeps.
-ARCS = 1_000_000
+ARCS = 400_000
 #: Bytes of text that are encoded at once, a longer text alone.
 SLICE_BYTES = 2_000_000
 

@@ -14,7 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that a Python worker takes up at once, a longer text alone.
-SLICE_ROWS, SLICE_BYTES = 1000, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 1000, 2_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
