@@ -32,11 +32,11 @@ from gridcalc.llm.common import bytes_of, fresh_path, open_fs, partitions, put_f
 from gridcalc.llm.labelled import remainder
 
 ORDER = 3
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 1_800_000
 #: Tokens whose sequences one partition adds up, about.
-PARTITION_TOKENS = 3_000_000
+PARTITION_TOKENS = 1_200_000
 #: A context so frequent is dealt over partitions, and at most so many of an order are.
-HOT_TOKENS, HOT_CONTEXTS = 3_000_000, 50_000
+HOT_TOKENS, HOT_CONTEXTS = 1_200_000, 50_000
 #: Counts up to this are discounted.
 SMALL = 5
 #: Counts of counts that Good-Turing's smoothing is fitted to.
@@ -424,6 +424,7 @@ def exchanged(spark: SparkSession, table: DataFrame, ask: Callable[[int, bytes],
             rows += [(-1 - key % n, now, kind, length, key, values) for kind, length, key, values in summary]
             numbers.clear()
             blobs.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), answer_schema.types, strict=True)], schema=answer_schema)
 
         for part, number, blob in _rows(batches):
