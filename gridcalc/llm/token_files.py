@@ -13,6 +13,8 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,20 @@ from gridcalc.llm.common import bytes_of, fresh_path, gathered, open_fs, partiti
 
 MAGIC = b"GCTOK001"
 BLOCK = 1 << 16
-#: Distinct words whose ids one Python worker keeps, and pieces of words.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
-#: Words of these signs hold nothing that composes, and each letter has one lower-case letter.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-#: How a tokenizer whose pre-splitting pattern is FOLDED parts such a word in lower case.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Distinct pieces of words whose ids one Python worker keeps.
+CACHE_PIECES = 1_000_000
 #: Fixed value: the pre-splitting pattern of the lower-casing tokenizer, as its vocabulary file has it.
 FOLDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes. Words without odd ones hold nothing that composes, and each of their letters (ASCII, Latin-1) has one lower-case
+#: letter. A byte after 0xC3 is a letter's second, unless it makes a multiplication or division sign.
+BLANK, LETTER, DIGIT, SIGN, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[[*b"\t\n\x0b\x0c\r "]] = BLANK
+_KIND[[*b"0123456789"]] = DIGIT
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def bits_for(vocabulary: int) -> int:
@@ -58,66 +66,72 @@ def unpack(data: bytes, count: int, bits: int, start: int = 0) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer's ids for texts whose blank-separated words it treats one by one; words seen before are looked up."""
+    """A tokenizer's ids for texts whose blank-separated words it treats one by one; pieces seen before are looked up."""
 
     def __init__(self, tokenizer_json: str, plain_specials: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        self.json = tokenizer_json
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = plain_specials
         #: One token that stands between words encoded together; as a special token it parts what is normalised.
-        self.joint = Tokenizer.from_str(tokenizer_json)
-        self.joint.no_truncation()
-        self.joint.no_padding()
         self.between = max(((t["content"], t["id"]) for t in json.loads(tokenizer_json)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])), default=None)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         spec = json.loads(tokenizer_json)
-        self.folds = "Lowercase" in json.dumps(spec.get("normalizer")) and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex") == FOLDED
-        self._forget()
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer")) and steps[0].get("pattern", {}).get("Regex") == FOLDED and all("<|" in t["content"] for t in spec["added_tokens"])
+        #: The ids that end a piece, if each piece of plain signs has one and the model can be given such pieces as they are.
+        self.last = None
+        suffix, tokens = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
+        if self.folds and suffix == "</w>" and {c + suffix for c in ByteLevel.alphabet()} <= tokens.keys() and [(t["type"], t.get("add_prefix_space"), t.get("use_regex")) for t in steps[1:]] == [("ByteLevel", False, False)]:
+            self.last = np.zeros(self.vocabulary, bool)
+            self.last[[i for t, i in tokens.items() if t.endswith(suffix)]] = True
+            blanks = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, *steps[1:]]}}))
+        self._trim()
+
+    @cached_property
+    def joint(self):
+        """The tokenizer that takes words with a special token between them."""
+        from tokenizers import Tokenizer
+
+        joint = Tokenizer.from_str(self.json)
+        joint.no_truncation()
+        joint.no_padding()
+        return joint
 
-    def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
+    def _trim(self) -> None:
+        """Forgets all pieces."""
+        self.pieces: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used, self.known, self.offsets, self.lengths = 0, 0, np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _trim(self) -> None:
-        """Forgets all words, and their pieces if these are too many."""
-        pieces = list(self.pieces) if len(self.pieces) <= CACHE_PIECES else []
-        codes = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
-        ids, n = self.flat[gathered(self.offsets, self.lengths, codes)], self.lengths[codes]
-        self._forget()
-        self.pieces.update(zip(pieces, self._store(ids, n), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words: those of their pieces, one after the other."""
-        parted = [self._parted(w.decode()) for w in words]
-        new = list({x for pieces in parted for x in pieces}.difference(self.pieces))
-        odd = [x for x in new if self.between is None or "<" in x or "[" in x]
+    def _learn(self, plain: list[bytes], words: list[bytes]) -> None:
+        """Ids of new pieces; nothing in plain ones is normalised or split, so that the tokenizer's model alone is asked."""
+        if self.last is None:
+            plain, words = [], plain + words
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            self.pieces.update(zip(some, self._store(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)), strict=True))
+        odd = [x for x in words if self.between is None or b"<" in x or b"[" in x]
         if odd:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False)]
             self.pieces.update(zip(odd, self._store(np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))), strict=True))
             skip = set(odd)
-            new = [x for x in new if x not in skip]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+            words = [x for x in words if x not in skip]
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
             text, mark = self.between
-            ids = np.array(self.joint.encode_batch_fast([text.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.joint.encode_batch_fast([text.join(x.decode() for x in some)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.r_[-1, np.flatnonzero(ids == mark), len(ids)]
             self.pieces.update(zip(some, self._store(ids[ids != mark], np.diff(cut) - 1), strict=True))
-        known = self.pieces
-        self.code.update((w, known[p[0]]) for w, p in zip(words, parted, strict=True) if len(p) == 1)
-        several = [(w, p) for w, p in zip(words, parted, strict=True) if len(p) > 1]
-        if several:
-            codes = np.array([known[x] for _, p in several for x in p], np.int64)
-            starts = np.cumsum([0] + [len(p) for _, p in several[:-1]])
-            at = self._store(self.flat[gathered(self.offsets, self.lengths, codes)], np.add.reduceat(self.lengths[codes], starts))
-            self.code.update(zip((w for w, _ in several), at, strict=True))
 
     def _store(self, new: np.ndarray, n: np.ndarray) -> range:
         """The codes of runs of ids."""
@@ -132,30 +146,63 @@ class Encoder:
         self.used, self.known = self.used + len(new), last
         return range(first, last)
 
-    def _parted(self, word: str) -> list[str]:
-        """The pieces that the tokenizer makes of a word of plain signs, in lower case if it folds case; others stay whole.
+    def _parted(self, data: bytes) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """The pieces that the tokenizer makes of words of plain signs, in lower case if it folds case, where they begin, and which are whole words: all others.
 
-        No other letters are folded here: what composes with a mark must do so before it is lowered.
+        No other letters are folded here: what composes with a mark must do so before it is lowered. ``data`` ends with two blanks.
         """
-        if not self.folds or not _PLAIN(word) or "<|" in word:
-            return [word]
-        return _PIECES(word.lower())
+        raw = np.frombuffer(data, np.uint8)
+        kind, text = _KIND[raw], _LOWER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        second = raw[lead + 1]
+        letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        kind[lead[letter] + 1] = LETTER
+        text[lead[letter & (second < 0x9F)] + 1] += 32
+        held = kind != BLANK
+        start = held.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        # 's, 't, 'm, 'd, 're, 've, 'll where a piece begins with the apostrophe
+        quote = np.flatnonzero(start & (text == ord("'")))
+        one, two = text[quote + 1], text[quote + 2]
+        short = np.isin(one, [*b"stmd"])
+        long = (np.isin(one, [*b"rv"]) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[quote[short | long] + 1] = False
+        after = np.r_[quote[short] + 2, quote[long] + 3]
+        start[after] = held[after]
+        whole = kind == ODD if self.folds else held
+        whole[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+        inside = np.zeros(len(raw), bool)
+        if whole.any():
+            turn = np.diff(held, prepend=False)
+            first, last = np.flatnonzero(turn & held), np.flatnonzero(turn & ~held)
+            those = np.logical_or.reduceat(whole, first)
+            step = np.zeros(len(raw), np.int8)
+            step[first[those]], step[last[those]] = 1, -1
+            inside = np.cumsum(step, dtype=np.int8).view(bool)
+            start &= ~inside
+            start[first[those]] = True
+            np.copyto(text, raw, where=inside)
+        text, at = text[held], np.flatnonzero(start)
+        ends = np.append(np.flatnonzero(start[held]), len(text))
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode(), at, inside[at]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of UTF-8 texts in a row, and the number of ids of each."""
-        words, counts = [], []
-        for t in texts:
-            w = t.split()
-            words += w
-            counts.append(len(w))
-        if len(self.code) > CACHE_WORDS:
+        parted, at, whole = self._parted(b" ".join(texts) + b"  ")
+        pieces, places = parted.dictionary.to_numpy(zero_copy_only=False), parted.indices.to_numpy()
+        if len(self.pieces) > CACHE_PIECES:
             self._trim()
-        self._learn(list(set(words).difference(self.code)))
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.pieces.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = codes < 0
+        words = np.zeros(len(pieces), bool)
+        words[places] = whole
+        self._learn(pieces[new & ~words].tolist(), pieces[new & words].tolist())
+        codes[new] = np.fromiter(map(self.pieces.__getitem__, pieces[new]), np.int64)
+        codes = codes[places]
         ids = self.flat[gathered(self.offsets, self.lengths, codes)]
         total = np.r_[0, np.cumsum(self.lengths[codes])]
-        ends = np.cumsum(counts, dtype=np.int64)
-        return ids, total[ends] - total[ends - counts]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return ids, np.diff(total[np.searchsorted(at, ends)], prepend=0)
 
 
 _encoders: dict[tuple[int, bool], Encoder] = {}

@@ -71,6 +71,20 @@ def test_encoder_equals_library_on_marks_and_signs():
             at += n
 
 
+def test_plain_words_are_parted_without_the_normalizer(monkeypatch):
+    r = random.Random(11)
+    letters = "'''''sstmdrevlLSTDM aÀÖØÞßàöøÿ09.,<[ \n\t\x0b\x0c\r"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(3000)] + ["", " ", "'", "it's", "'S", "''ll'll", "1's'9're", "'ll", "[x]<y>|<", "Ünïté's"]
+    library = Tokenizer.from_str(WORD)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    own = token_files.Encoder(WORD)
+    own.tokenizer = own.joint = None  # neither normalises nor splits such words
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 50)
+    for k in range(0, len(texts), 100):
+        ids, counts = own.encode([t.encode() for t in texts[k : k + 100]])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[k : k + 100]
+
+
 def test_token_files_equal_library(spark):
     rows = [(i * 3, t) for i, t in enumerate(odd_texts())] + [(None, "no id"), (5000, None), (5000, "twice"), (5001, "x " * 90_000)]
     df = spark.createDataFrame([(d, t, "n", 1) for d, t in rows], "doc_id long, text string, uri string, ids int").repartition(5)
