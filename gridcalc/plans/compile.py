@@ -339,6 +339,15 @@ class Compiler:
             raise InvalidArguments(f"{what} needs a fixed range")
         return self.base.where(F.col(ROW).between(ref.row + 1, ref.last_row + 1))
 
+    def _height(self, ref: Ref) -> int:
+        return min(self.rows, ref.last_row - ref.row + 1)
+
+    def _cell_at(self, row: Column, column: int, name: str, within: Ref | None) -> DataFrame:
+        """The rows with the cell of a computed row; of a fixed range, only its own rows take part."""
+        cells = self._fixed_rows(within, "a fixed range") if within else self.base
+        cells = cells.select(F.col(ROW).alias("row"), F.col(cell(column)).alias("target"))
+        return lookups.join_row(self.df, row, cells, name, self.rows, self._height(within) if within else self.rows)
+
     def _literal(self, node, what: str) -> int:
         if isinstance(node, Call) and node.name == "NEGATE":
             return -self._literal(node.args[0], what)
@@ -377,17 +386,17 @@ class Compiler:
         searched = rows.select(key.alias("key"), F.col(ROW).alias("row"), goal.alias("target"))
         column_name, _ = self._named(("lookup", node, len(self.names)))
         if mode == 0:
-            hits = lookups.exact(searched)
+            hits, most = lookups.exact(searched), self._height(search)
         else:
-            hits = lookups.positional(searched, lookups.distinct_sources(self.df, asked), mode == 1, self.rows)
-        self.df = lookups.join_key(self.df, asked, hits, column_name)
+            hits, most = lookups.positional(searched, lookups.distinct_sources(self.df, asked), mode == 1, self.rows), self.rows
+        self.df = lookups.join_key(self.df, asked, hits, column_name, self.rows, most)
         hit = F.col(column_name)
         if column is None:
             return Value((hit["row"] - search.row).cast("long"), "num")
         if shift:
             at = hit["row"] + shift
             at = F.when(at.between(within.row + 1, within.last_row + 1), at)
-            self.df = lookups.join_row(self.df, at, self.base.select(F.col(ROW).alias("row"), F.col(cell(column)).alias("target")), f"{column_name}t")
+            self.df = self._cell_at(at, column, f"{column_name}t", within)
             return Value(F.col(f"{column_name}t"), self.kinds[column])
         return Value(F.when(hit["row"] <= within.last_row + 1, hit["target"]), self.kinds[column])
 
@@ -427,5 +436,5 @@ class Compiler:
             last = F.lit(ref.last_row + 1) if ref.kind is RefType.RF else F.col(ROW) + ref.last_row
             row = F.when((at >= 1) & (first + at - 1 <= last), first + at - 1)
         name, _ = self._named(("index", node, len(self.names)))
-        self.df = lookups.join_row(self.df, row, self.base.select(F.col(ROW).alias("row"), F.col(cell(column)).alias("target")), name)
+        self.df = self._cell_at(row, column, name, ref if ref.kind is RefType.FF else None)
         return Value(F.col(name), self.kinds[column])
